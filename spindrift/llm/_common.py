@@ -58,9 +58,14 @@ def crc_mod(column: str, n: int):
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) end to end, and the n + 1 offsets of its rows."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if column.offset:
-        column = pa.concat_arrays([column])
+    return utf8_bytes(pc.fill_null(column.cast(pa.large_string()), ""))
+
+
+def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a string or binary column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

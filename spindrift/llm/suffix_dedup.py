@@ -14,8 +14,13 @@ chosen to let almost all suffixes leave after the first pass:
 2. The rows are sorted by both digits.  Equal second digits: every window of the
    later run is a repeat.  An anchor in one class of runs only: nothing else can
    repeat, its suffixes leave.
-3. Only where an anchor occurs within different runs are suffixes taken one by
-   one and ordered by their full `threshold` bytes (as 128-bit hashes).
+3. Only where an anchor occurs within different runs do the suffixes stay for a
+   third digit: the half of the window's other bytes that lies on the anchor's
+   heavier side.  A window with more bytes right of its anchor contains the right
+   half, any other the left one, so windows that differ in it leave.
+4. What shares all three digits is ordered by its full `threshold` bytes (as
+   96-bit hashes), group by group; a group too large for one task is dealt out
+   again by single windows.
 
 Each map task first settles equal runs among its own rows, so a passage shared
 by a third of all documents costs a row per task, not per copy.
@@ -25,22 +30,27 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import RollingHash, batch, mix, order_id, slabs, utf8, written
+from spindrift.llm._common import RollingHash, batch, mix, order_id, slabs, utf8, utf8_bytes, written
 
 DIGIT = 32
 SEGMENT = 4 << 20
 POSITION_BITS = np.uint64(24)
 FLUSH = 1_000_000
-#: `place` holds 32 bits of the first start, 12 of the text's hash, 20 of the number of starts.
+#: `place` holds 32 bits of the first start, 12 of the text's hash, 20 of the number of starts; of a run,
+#: these last are 7 bits of its anchor's distance from the first start and 7 of the number of starts.
 RUN = pa.schema([("anchor", pa.int32()), ("covers", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("known", pa.int8())])
 RUN_DDL = "anchor int, covers long, id long, place long, known byte"
 MOST = (1 << 20) - 1
+#: Rows of one half-window digit that a task takes at once, and the most digits above that number.
+LIMIT, MOST_HOT = 50_000, 100_000
 
 
 def _place(start, tag, count):
@@ -76,7 +86,7 @@ def _sliding_minimum(x, width):
 
 
 def _runs(data, offsets, threshold, digit, first: RollingHash, second: RollingHash):
-    """(anchor, covers, row, start in the row, number of starts) of every run."""
+    """(anchor, covers, row, start in the row, anchor's distance << 7 | number of starts) of every run."""
     width = threshold - digit + 1
     for part, row, starts, ends in _segments(data, offsets, threshold):
         n = len(part) - threshold + 1
@@ -94,7 +104,7 @@ def _runs(data, offsets, threshold, digit, first: RollingHash, second: RollingHa
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(at)) - 1
         covers = mix(second.between(second.prefix(part), at[lo], at[hi] + threshold))
-        yield grams[anchor[lo]].astype(np.uint32).view(np.int32), covers.view(np.int64), row[at[lo]], at[lo] - starts[at[lo]], at[hi] - at[lo] + 1
+        yield grams[anchor[lo]].astype(np.uint32).view(np.int32), covers.view(np.int64), row[at[lo]], at[lo] - starts[at[lo]], ((anchor[lo] - at[lo]) << 7) | (at[hi] - at[lo] + 1)
 
 
 def _settled(anchor, covers, id_, start, tag, count):
@@ -111,7 +121,7 @@ def _settled(anchor, covers, id_, start, tag, count):
     keep = ~later & ~same
     yield a[keep], c[keep], i[keep], _place(s[keep], t[keep], n[keep]), np.zeros(keep.sum(), np.int8)
     if later.any():
-        i, s, t, n = i[later], s[later], t[later], n[later]
+        i, s, t, n = i[later], s[later], t[later], n[later] & 127
         order = np.lexsort((s, t, i))
         i, s, t, e = i[order], s[order], t[order], (s + n)[order]
         new = np.ones(len(i), bool)
@@ -176,7 +186,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_p = np.where(at >= 0, p[at], first[1] if first else 0)
         again = ~new_class & ~((i == first_i) & (p == first_p))
         if again.any():
-            yield b.filter(pa.array(again)).set_column(4, "known", pa.array(np.ones(again.sum(), np.int8)))
+            yield batch(RUN, a[again], c[again], i[again], p[again] & ~MOST | p[again] & 127, np.ones(again.sum(), np.int8))
         heads = np.flatnonzero(new_class)
         if len(heads):
             group = np.cumsum(new_anchor)[heads]  # 0: the anchor that the batch before ended with
@@ -202,29 +212,122 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev, first = (a[-1], c[-1]), (first_i[-1], first_p[-1])
 
 
-WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("tag", pa.int16()), ("start", pa.int32())])
-WINDOW_DDL = "h1 long, h2 long, id long, tag short, start int"
+CONTEXT = pa.schema([("half", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+CONTEXT_DDL = "half long, id long, place long, bytes binary"
+PACKED = pa.schema([("id", pa.int64()), ("tag", pa.int16()), ("packed", pa.binary())])
 
 
-def _map_windows(threshold: int):
-    """Every window of the given runs of each text, by two 64-bit hashes."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed for the shuffle."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        data, offsets = utf8(b["text"])
+        yield batch(PACKED, b["id"], b["tag"], [press.compress(data[offsets[r] : offsets[r + 1]].tobytes()) for r in range(b.num_rows)])
+
+
+def _map_contexts(threshold: int, digit: int):
+    """Of every run, the windows that contain the anchor's right half and those that contain its left half."""
+    right = (threshold - digit) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = RollingHash(21), RollingHash(22)
+        first, press = RollingHash(21), zstandard.ZstdDecompressor()
         for b in batches:
-            data, offsets = utf8(b["text"])
-            ids, tags, places = b["id"].to_numpy(), b["tag"].to_numpy(), b["places"]
+            ids, packed, places = b["id"].to_numpy(), b["packed"], b["places"]
             bounds, flat = places.offsets.to_numpy(), places.values.to_numpy()
             for r in range(b.num_rows):
-                start, _, count = _unplace(flat[bounds[r] : bounds[r + 1]])
-                at = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
-                text = data[offsets[r] : offsets[r + 1]]
-                for lo in range(0, len(text), SEGMENT):
-                    own = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + SEGMENT)] - lo
-                    if len(own):
-                        part = text[lo : lo + SEGMENT + threshold]
-                        hashes = [h.between(h.prefix(part), own, own + threshold).view(np.int64) for h in (first, second)]
-                        yield batch(WINDOW, *hashes, np.full(len(own), ids[r]), np.full(len(own), tags[r], np.int16), (own + lo).astype(np.int32))
+                text = press.decompress(packed[r].as_py())
+                start, tag, n = _unplace(flat[bounds[r] : bounds[r + 1]])
+                anchor, last = start + (n >> 7), start + (n & 127) - 1
+                whole = np.frombuffer(text, np.uint8)
+                out = []
+                for lo, hi, a, e, salt in (
+                    (np.maximum(start, anchor - right), last, anchor, anchor + threshold - right, 0),
+                    (start, np.minimum(last, anchor - right - 1), anchor - right - 1 + threshold - digit - 2 * right, anchor + digit, 1),
+                ):
+                    got = np.flatnonzero(lo <= hi)
+                    if not len(got):
+                        continue
+                    lo, hi, a, e = lo[got], hi[got], a[got], e[got]
+                    base = int(a.min())
+                    part = whole[base : int(e.max())]
+                    half = _hash_parts(first, part, a - base, e - base) ^ np.uint64(salt)
+                    out.append((half.view(np.int64), _place(lo, tag[got], hi - lo + 1), [text[x:y] for x, y in zip(lo.tolist(), (hi + threshold).tolist(), strict=True)]))
+                if out:
+                    half, place, held = (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), sum((x[2] for x in out), []))
+                    yield batch(CONTEXT, half, np.full(len(half), ids[r]), place, held)
+
+    return run
+
+
+def _hash_parts(h: RollingHash, data, start, end):
+    """Hashes of data[start:end], taken over stretches of bounded memory."""
+    out = np.zeros(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    at = 0
+    while at < len(order):
+        base = start[order[at]]
+        stop = max(at + 1, int(np.searchsorted(start[order], base + SEGMENT)))
+        k = order[at:stop]
+        part = data[base : int(end[k].max())]
+        out[k] = mix(h.between(h.prefix(part), start[k] - base, end[k] - base))
+        at = stop
+    return out
+
+
+def _windows(held, threshold, first, second):
+    b = pa.Table.from_batches(held).combine_chunks()
+    data, offsets = utf8_bytes(b["bytes"])
+    start, tag, n = _unplace(b["place"].to_numpy())
+    ids = b["id"].to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = offsets[row] + k
+    h1, h2 = (mix(h.between(h.prefix(data), at, at + threshold)) for h in (first, second))
+    return h1.astype(np.uint32).view(np.int32), h2.view(np.int64), ids[row], start[row] + k, tag[row], np.ones(len(row), np.int64)
+
+
+def _map_windows(threshold: int):
+    """Each window of each context, settled within the task as far as may be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = RollingHash(21), RollingHash(22)
+        for b in batches:
+            for k in range(0, b.num_rows, 4096):
+                for cols in _settled(*_windows([b.slice(k, 4096)], threshold, first, second)):
+                    yield batch(RUN, *cols)
+
+    return run
+
+
+def _resolve(threshold: int):
+    """Over contexts sorted by half: the windows that also start earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = RollingHash(21), RollingHash(22)
+
+        def done(held):
+            for cols in _settled(*_windows(held, threshold, first, second)):
+                if len(cols[0]) and cols[4][0]:
+                    yield batch(RUN, *cols)
+
+        held, rows, last = [], 0, None
+        for b in batches:
+            half = b["half"].to_numpy()
+            new = np.ones(len(half), bool)
+            new[1:] = half[1:] != half[:-1]
+            new[0] = half[0] != last
+            alone = new & np.append(new[1:], False)
+            alone[0] = False  # it may go on from the batch before
+            cuts = np.flatnonzero(new)
+            if rows >= 8192 and len(cuts):
+                yield from done([*held, b.slice(0, cuts[0])])
+                held, rows = [], 0
+                b, alone = b.slice(cuts[0]), alone[cuts[0] :]
+            held.append(b.filter(pa.array(~alone)))
+            rows += held[-1].num_rows
+            last = half[-1]
+        if held:
+            yield from done(held)
 
     return run
 
@@ -234,19 +337,28 @@ def repeated_starts(docs: DataFrame, threshold: int = 100, digit: int = DIGIT) -
 
     docs has id (long), tag (12 bits that tell texts of one id apart) and text.
     """
-    runs = docs.mapInArrow(_map_runs(threshold, digit), RUN_DDL)
+    digit = min(digit, max(1, threshold // 3))
+    if not 0 <= threshold - digit < 127:
+        raise ValueError("threshold must be under 159 bytes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "covers", "id", "place")
-    found = ordered.mapInArrow(_sorted_runs, RUN_DDL)
-    found = written(found, "runs")
-    tag, start, count = F.expr("cast(shiftright(place, 20) & 4095 as short)"), F.expr("cast(shiftright(place, 32) as int)"), F.expr("cast(place & 1048575 as int)")
-    sure = found.where("known = 1").select("id", tag.alias("tag"), start.alias("start"), count.alias("count"))
-    open_ = found.where("known = 0").groupBy("id", tag.alias("tag")).agg(F.collect_list("place").alias("places"))
-    windows = docs.join(open_, ["id", "tag"]).select("id", "tag", "text", "places").mapInArrow(_map_windows(threshold), WINDOW_DDL)
-    windows = windows.distinct()
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = windows.join(firsts, ["h1", "h2"]).where(F.struct("id", "tag", "start") > F.col("least"))
-    return sure.unionByName(late.select("id", "tag", "start", F.lit(1).alias("count")))
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "covers", "id", "place").mapInArrow(_sorted_runs, RUN_DDL)
+
+    found = written(settled(docs.mapInArrow(_map_runs(threshold, digit), RUN_DDL)), "runs")
+    tag = F.expr("cast(shiftright(place, 20) & 4095 as short)").alias("tag")
+    open_ = found.where("known = 0").groupBy("id", tag).agg(F.collect_list("place").alias("places"))
+    packed = docs.mapInArrow(_pack, "id long, tag short, packed binary")
+    contexts = packed.join(open_, ["id", "tag"]).select("id", "packed", "places").mapInArrow(_map_contexts(threshold, digit), CONTEXT_DDL)
+    contexts = written(contexts, "contexts")
+    limit = max(LIMIT, contexts.count() // MOST_HOT)
+    hot = [r.half for r in contexts.groupBy("half").count().where(F.col("count") > limit).select("half").collect()]
+    large = F.col("half").isin(hot) if hot else F.lit(False)
+    again = contexts.where(~large).repartition(n, "half").sortWithinPartitions("half").mapInArrow(_resolve(threshold), RUN_DDL)
+    parts = [found.where("known = 1"), again]
+    if hot:
+        parts.append(settled(contexts.where(large).mapInArrow(_map_windows(threshold), RUN_DDL)).where("known = 1"))
+    return reduce(DataFrame.unionByName, parts).select("id", tag, F.expr("cast(shiftright(place, 32) as int)").alias("start"), F.expr("cast(place & 1048575 as int)").alias("count"))
 
 
 def _cut(text: bytes, starts, counts, threshold: int):
@@ -285,25 +397,34 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary"]
     names = [x.split()[0] for x in out]
     rest = [c for c in docs.columns if c not in (*names, text_col)]
-    base = docs.select(order_id(id_col).alias("id"), F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 4095 as short)").alias("tag"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_starts(base, threshold).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    keyed = docs.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"), order_id(id_col).alias("id"), F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 4095 as short)").alias("tag"))
-    keyed = keyed.join(spans, ["id", "tag"], "left").select("row", "text", "spans")
+    key = [order_id(id_col).alias("id"), F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 4095 as short)").alias("tag"), F.col(text_col).cast("string").alias("text")]
+    spans = repeated_starts(docs.select(*key), threshold).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     types = dict(docs.dtypes)
-    ddl = "row struct<" + ",".join(f"`{c}`:{types[c]}" for c in rest) + ">, " + ", ".join(out if keep_bytes else out[:-1])
+    row_ddl = "row struct<" + ",".join(f"`{c}`:{types[c]}" for c in rest) + ">"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             data, offsets = utf8(b["text"])
-            spans = b["spans"]
+            texts = pa.array([press.compress(data[offsets[r] : offsets[r + 1]].tobytes()) for r in range(b.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["tag"], texts], names=["row", "id", "tag", "packed"])
+
+    keyed = docs.select(F.struct(*rest).alias("row"), *key).mapInArrow(pack, f"{row_ddl}, id long, tag short, packed binary")
+    keyed = keyed.join(spans, ["id", "tag"], "left").select("row", "packed", "spans")
+    ddl = f"{row_ddl}, " + ", ".join(out if keep_bytes else out[:-1])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            packed, spans = b["packed"], b["spans"]
             bounds = spans.offsets.to_numpy()
             starts, counts = (spans.values.field(k).to_numpy() for k in (0, 1))
             got = []
             for r in range(b.num_rows):
                 lo, hi = bounds[r], bounds[r + 1]
-                text = data[offsets[r] : offsets[r + 1]].tobytes()
+                text = press.decompress(packed[r].as_py())
                 kept, removed, n = _cut(text, starts[lo:hi], counts[lo:hi], threshold)
-                got.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept))
+                got.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
             cols = list(zip(*got, strict=True)) or [()] * 5
             arrays = [b["row"], *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays if keep_bytes else arrays[:-1], names=["row", *names] if keep_bytes else ["row", *names[:-1]])

@@ -62,3 +62,13 @@ def test_edges(spark):
     assert got[1, 300].n_removed == 299 and got[1, 300].n_spans == 1
     assert got[5, 5_000_000].n_removed == 0
     assert got[6, 2000].n_removed == 2000 and got[6, 2000].kept == b""
+
+
+def test_hot_digit_is_dealt_out_by_windows(spark, monkeypatch):
+    from spindrift.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "LIMIT", 3)
+    rows = corpus(9, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: (r[0] is not None, r[0] or 0)) == brute(rows, 100)
