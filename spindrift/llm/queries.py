@@ -16,6 +16,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, threshold=100, keep_bytes=False)
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup,)}
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), length=2048)
+
+
+QUERIES = {f.__name__: f for f in (op3_media_chunks, op5_suffix_dedup, op7_jaccard_join, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
