@@ -108,7 +108,7 @@ class RollingHash:
     def _grow(self, n: int) -> None:
         if n <= self.n:
             return
-        self.n = max(n, 1 << 20)
+        self.n = max(n, 1 << 19)
         up = np.full(self.n, self.base, np.uint64)
         down = np.full(self.n, pow(self.base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1

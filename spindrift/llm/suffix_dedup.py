@@ -41,16 +41,16 @@ from pyspark.sql import functions as F
 from spindrift.llm._common import RollingHash, batch, mix, order_id, slabs, utf8, utf8_bytes, written
 
 DIGIT = 32
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 POSITION_BITS = np.uint64(24)
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: `place` holds 32 bits of the first start, 12 of the text's hash, 20 of the number of starts; of a run,
 #: these last are 7 bits of its anchor's distance from the first start and 7 of the number of starts.
 RUN = pa.schema([("anchor", pa.int32()), ("covers", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("known", pa.int8())])
 RUN_DDL = "anchor int, covers long, id long, place long, known byte"
 MOST = (1 << 20) - 1
 #: Rows of one half-window digit that a task takes at once, and the most digits above that number.
-LIMIT, MOST_HOT = 50_000, 100_000
+LIMIT, MOST_HOT = 10_000, 100_000
 
 
 def _place(start, tag, count):
@@ -63,7 +63,7 @@ def _unplace(place):
 
 def _segments(data, offsets, threshold):
     """Slabs of (bytes, row, start in the row, window starts that are valid)."""
-    for i, j in slabs(offsets):
+    for i, j in slabs(offsets, 1 << 19):
         length = offsets[j] - offsets[i]
         if length < threshold:
             continue
@@ -292,8 +292,8 @@ def _map_windows(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = RollingHash(21), RollingHash(22)
         for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                for cols in _settled(*_windows([b.slice(k, 4096)], threshold, first, second)):
+            for k in range(0, b.num_rows, 2048):
+                for cols in _settled(*_windows([b.slice(k, 2048)], threshold, first, second)):
                     yield batch(RUN, *cols)
 
     return run
@@ -319,7 +319,7 @@ def _resolve(threshold: int):
             alone = new & np.append(new[1:], False)
             alone[0] = False  # it may go on from the batch before
             cuts = np.flatnonzero(new)
-            if rows >= 8192 and len(cuts):
+            if rows >= 4096 and len(cuts):
                 yield from done([*held, b.slice(0, cuts[0])])
                 held, rows = [], 0
                 b, alone = b.slice(cuts[0]), alone[cuts[0] :]
