@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,91 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), length=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_media_chunks, op5_suffix_dedup, op7_jaccard_join, op9_packing)}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.mixing import mix
 
-ORACLE_SQL: dict[str, str] = {}
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.url_filter import judge_urls
+
+    rules = spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as rules(host, path, verdict)")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm._common import crc_mod
+    from spindrift.llm.toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnable = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_mod("doc_id", 5) != 0)
+    scored = score_toxicity(docs, learnable)
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.expr("vec_id % 100 = 0"), k=10)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm._common import crc_mod
+    from spindrift.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(crc_mod("doc_id", 3) != 1))
+    found = identify(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm._common import scratch
+    from spindrift.llm.warc import archive_and_read
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archive_and_read(pages, scratch(spark, "warc"), least_bytes=0).drop("url")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_url_filter, op3_media_chunks, op4_toxicity, op5_suffix_dedup, op6_topk, op7_jaccard_join, op8_language, op9_packing, op10_warc)
+}
+
+_RULES_SQL = ", ".join(map(str, RULES))
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": f"""
+        WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULES_SQL}),
+        parts AS (
+            SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS raw_host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+            FROM pages
+        ),
+        cut AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts)
+        SELECT page_id, host, path,
+               (SELECT max_by(r_host || r_path, length(r_host || r_path)) FROM rules
+                WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)) AS rule,
+               coalesce((SELECT max_by(r_verdict, length(r_host || r_path)) FROM rules
+                WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)), 'allow') AS verdict
+        FROM cut
+    """,
+    "op6_topk": """
+        WITH usable AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
