@@ -5,6 +5,8 @@ Cuts fall where a gear hash of the last 32 bytes has its upper bits clear, so
 equal passages are cut alike wherever they stand.  `manifests` lists the digests
 of a payload in order, `chunks` holds each digest's bytes once, and `restore`
 joins the two, checks every digest and reads the samples back out of the file.
+Chunks are kept compressed with a Zstandard dictionary, which is trained on a
+bounded sample of texts (`sample` of them, chosen by hash).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm._common import utf8
 
-LEAST, MEAN_BITS, MOST, RATE = 1024, 12, 16384, 8000
+LEAST, MEAN_BITS, MOST, RATE, LEVEL = 1024, 12, 16384, 8000, 12
 _GEAR = np.random.Generator(np.random.PCG64(51)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -79,21 +81,41 @@ PART = pa.schema([("key", pa.binary()), ("ordinal", pa.int32()), ("count", pa.in
 SEEN = 1_000_000
 
 
-def _map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press, seen = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True), set()
-    for b in batches:
-        digests, packed = [], []
-        for _, parts in _payloads(b):
-            for p in parts:
-                d = _digest(p)
-                if d not in seen:
-                    seen.add(d)
-                    digests.append(d)
-                    packed.append(press.compress(p))
-        if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], schema=CHUNK)
-        if len(seen) > SEEN:
-            seen.clear()
+def train_dictionary(docs: DataFrame, text_col: str = "text", sample: int = 2000, size: int = 112 << 10) -> bytes:
+    """A dictionary for the chunks of docs' texts, empty if there are too few to train one."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("text")).where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, MOST).alias("text")).orderBy("h").limit(sample).collect()
+    try:
+        return zstandard.train_dictionary(size, [r.text.encode() for r in rows]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _shared(dictionary: bytes):
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
+def _map_chunks(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = _shared(shared.value), set()
+        if known:
+            known.precompute_compress(level=LEVEL)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_dict_id=False)
+        for b in batches:
+            digests, packed = [], []
+            for _, parts in _payloads(b):
+                for p in parts:
+                    d = _digest(p)
+                    if d not in seen:
+                        seen.add(d)
+                        digests.append(d)
+                        packed.append(press.compress(p))
+            if digests:
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], schema=CHUNK)
+            if len(seen) > SEEN:
+                seen.clear()
+
+    return run
 
 
 def _map_manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +149,10 @@ def manifests(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _keyed(docs, text_col).select("text", "key").mapInArrow(_map_manifests, "key binary, ordinal int, count int, digest binary")
 
 
-def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, packed): every distinct chunk once, compressed."""
-    return _keyed(docs, text_col).select("text").mapInArrow(_map_chunks, "digest binary, packed binary").dropDuplicates(["digest"])
+def chunks(docs: DataFrame, text_col: str = "text", dictionary: bytes = b"") -> DataFrame:
+    """(digest, packed): every distinct chunk once, compressed with the dictionary."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
+    return _keyed(docs, text_col).select("text").mapInArrow(_map_chunks(shared), "digest binary, packed binary").dropDuplicates(["digest"])
 
 
 def wave(payload: bytes) -> bytes:
@@ -157,12 +180,12 @@ def feature(payload: bytes, n_chunks: int) -> str:
 RESTORED = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
 
 
-def _restore(with_media: bool):
+def _restore(with_media: bool, shared):
     names = [x.split()[0] for x in RESTORED.split(", ")][: 8 if with_media else 7]
     types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, key, parts, count, out = zstandard.ZstdDecompressor(), None, [], 0, []
+        press, key, parts, count, out = zstandard.ZstdDecompressor(dict_data=_shared(shared.value)), None, [], 0, []
 
         def close():
             if len(parts) != count:
@@ -200,7 +223,7 @@ def _restore(with_media: bool):
     return run
 
 
-def restore(lists: DataFrame, store: DataFrame, with_media: bool = False) -> DataFrame:
+def restore(lists: DataFrame, store: DataFrame, with_media: bool = False, dictionary: bytes = b"") -> DataFrame:
     """Each listed payload read back from the store: sizes, digests, features and, if asked for, the media file.
 
     A missing or altered chunk makes the job fail; nothing is returned unchecked.
@@ -208,7 +231,7 @@ def restore(lists: DataFrame, store: DataFrame, with_media: bool = False) -> Dat
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = lists.join(store, "digest", "left").select("key", "ordinal", "count", "digest", "packed")
     ddl = RESTORED if with_media else RESTORED.rpartition(", ")[0]
-    return joined.repartition(n, "key").sortWithinPartitions("key", "ordinal").mapInArrow(_restore(with_media), ddl)
+    return joined.repartition(n, "key").sortWithinPartitions("key", "ordinal").mapInArrow(_restore(with_media, lists.sparkSession.sparkContext.broadcast(dictionary)), ddl)
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,4 +242,5 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are left out, an empty table gives no rows.
     """
     keys = docs.select(F.col(id_col).alias(id_col), F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), _key(text_col).alias("key"))
-    return keys.join(restore(manifests(docs, text_col), chunks(docs, text_col)), "key").drop("key")
+    dictionary = train_dictionary(docs, text_col)
+    return keys.join(restore(manifests(docs, text_col), chunks(docs, text_col, dictionary), dictionary=dictionary), "key").drop("key")
