@@ -51,6 +51,17 @@ def order_id(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(MISSING_ID))
 
 
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most n rows of distinct keys, chosen by a hash of the keys, alike on every run.
+
+    A share of the hashes is taken that holds about twice n rows, so little more
+    than the sample ever leaves the tasks, whatever the size of df.
+    """
+    share = min(1.0, 2.0 * n / max(df.count(), 1))
+    hashed = df.withColumn("__hash", F.xxhash64(*keys)).where(F.pmod("__hash", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return hashed.dropDuplicates(["__hash"]).orderBy("__hash").limit(n).drop("__hash")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import batch, checkpointed, mix, order_id, utf8
+from spindrift.llm._common import MISSING_ID, batch, checkpointed, mix, order_id, utf8
 from spindrift.llm.components import components
 from spindrift.llm.shingles import MinHash, shingle_sets
 
@@ -249,6 +249,27 @@ def near_duplicates(
     ones.  A null id stays null, and stands last when the least id of a group is
     taken.  Repeated rows are copies of each other; an empty table gives none.
     """
+    base, facts = _grouped(docs, id_col, text_col, words, threshold, bands, rows, tolerance)
+    facts = facts.select("cls", "class_id", "n_copies", "n_links")
+    return base.select("id", "cls").join(facts, "cls").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 5, tolerance: float = 1e-9) -> DataFrame:
+    """One row of docs, with all its columns, of each group of `near_duplicates`: one of least id.
+
+    Of several texts or rows with that id one is taken; a null id is taken only
+    where a group has no other.
+    """
+    _, facts = _grouped(docs, id_col, text_col, words, threshold, bands, rows, tolerance)
+    first = facts.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("first"))
+    kept = first.select(F.coalesce("first.rep", F.lit(MISSING_ID)).alias("__k"), F.col("first.cls").alias("__c"))
+    cls = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = docs.select("*", order_id(id_col).alias("__k"), cls.alias("__c"))
+    return keyed.join(kept, ["__k", "__c"]).dropDuplicates(["__k", "__c"]).select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, id_col, text_col, words, threshold, bands, rows, tolerance) -> tuple[DataFrame, DataFrame]:
+    """(id, text, cls) of docs, and cls, rep, group, class_id, n_copies, n_links of every class of equal texts."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cls", F.xxhash64("text"))
@@ -260,7 +281,7 @@ def near_duplicates(
     members = checkpointed(comps.join(classes, "cls").select("cls", "comp", "rep", "bytes"))
     blocks = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") * 1.5 / BLOCK_BYTES)).cast("int").alias("nb"))
     members = members.join(blocks, "comp")
-    picked = members.select(F.coalesce("rep", F.lit(-(2**63))).alias("k"), F.col("cls").alias("c"), "comp", "nb")
+    picked = members.select(F.coalesce("rep", F.lit(MISSING_ID)).alias("k"), F.col("cls").alias("c"), "comp", "nb")
     texts = base.withColumn("k", order_id("id")).join(picked, "k").where("c = cls").select("cls", "comp", "nb", "text")
     features = texts.mapInArrow(_map_features(words, bands * rows), "cls long, comp long, nb int, signature binary, shingles binary")
     own = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
@@ -272,6 +293,8 @@ def near_duplicates(
     links = verified.groupBy("cls").agg(F.sum("links").alias("n_links"))
     linked = links.join(groups, "cls").join(classes.select("cls", "rep"), "cls")
     least = linked.groupBy("group").agg(F.min("rep").alias("class_id"))
-    linked = linked.join(least, "group").select("cls", "class_id", "n_links")
-    facts = classes.join(linked, "cls", "left").select("cls", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return base.select("id", "cls").join(facts, "cls").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")
+    linked = linked.join(least, "group").select("cls", "group", "class_id", "n_links")
+    facts = classes.join(linked, "cls", "left").select(
+        "cls", "rep", F.coalesce("group", "cls").alias("group"), F.coalesce("class_id", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+    return base, facts

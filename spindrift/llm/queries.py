@@ -14,7 +14,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindrift.llm.suffix_dedup import remove_repeats
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, threshold=100, keep_bytes=False)
+    return remove_repeats(docs, threshold=100, keep=None)
 
 
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,12 +379,10 @@ def _cut(text: bytes, starts, counts, threshold: int):
     return b"".join(kept), int((hi - lo).sum()), len(lo)
 
 
-CUT = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: str | None = "bytes") -> DataFrame:
+    """All columns of docs but the text, then n_bytes, n_removed, n_spans, kept_sha256 and, as `keep` says, the bytes or the text that is left as kept.
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
-    """All columns of docs but the text, then n_bytes, n_removed, n_spans, kept_sha256 and (with keep_bytes) kept, the bytes that are left.
-
     A byte goes if a string of `threshold` bytes that covers it also starts
     earlier: in a document of smaller id, or before in the same one; all strings
     are judged on the input.  A null text counts as empty and a null id as the
@@ -394,7 +392,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     Clashing column names do not matter: the result's five columns replace any
     of the same name.  An empty table gives an empty table.
     """
-    out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary"]
+    out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", f"kept {'string' if keep == 'text' else 'binary'}"]
     names = [x.split()[0] for x in out]
     rest = [c for c in docs.columns if c not in (*names, text_col)]
     key = [order_id(id_col).alias("id"), F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 4095 as short)").alias("tag"), F.col(text_col).cast("string").alias("text")]
@@ -411,7 +409,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
 
     keyed = docs.select(F.struct(*rest).alias("row"), *key).mapInArrow(pack, f"{row_ddl}, id long, tag short, packed binary")
     keyed = keyed.join(spans, ["id", "tag"], "left").select("row", "packed", "spans")
-    ddl = f"{row_ddl}, " + ", ".join(out if keep_bytes else out[:-1])
+    ddl = f"{row_ddl}, " + ", ".join(out if keep else out[:-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -424,10 +422,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
                 lo, hi = bounds[r], bounds[r + 1]
                 text = press.decompress(packed[r].as_py())
                 kept, removed, n = _cut(text, starts[lo:hi], counts[lo:hi], threshold)
-                got.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+                got.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep == "text" else kept if keep else None))
             cols = list(zip(*got, strict=True)) or [()] * 5
-            arrays = [b["row"], *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays if keep_bytes else arrays[:-1], names=["row", *names] if keep_bytes else ["row", *names[:-1]])
+            arrays = [b["row"], *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays if keep else arrays[:-1], names=["row", *names] if keep else ["row", *names[:-1]])
 
     done = keyed.mapInArrow(cut, ddl)
-    return done.select("row.*", *[n for n in names if keep_bytes or n != "kept"])
+    return done.select("row.*", *[n for n in names if keep or n != "kept"])

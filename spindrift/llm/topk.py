@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import written
+from spindrift.llm._common import hash_sample, written
 
 SCALE = 1024
 ROWS, QUERIES = 4096, 1024
@@ -221,7 +221,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, longest = common.dim, common.longest
     ready = ready.where(F.col("dim") == dim)
-    chosen = ready.orderBy(F.xxhash64("id"), "id").select("packed").limit(sample).collect()
+    chosen = hash_sample(ready.select("id", "packed"), ["id"], sample).collect()
     centres, edges = fit_pivots(_lifted(np.stack([np.frombuffer(r.packed, np.int64) for r in chosen]), longest), pivots, annuli)
     model = {"dim": dim, "longest": float(longest), "pivots": centres, "edges": edges, "slack": 1e-6 * max(1.0, float(longest)) ** 0.5 + 1e-3}
     cells = written(ready.mapInArrow(_assign(spark.sparkContext.broadcast(model)), "id long, cell int, distance double, packed binary"), "cells")

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm._common import checkpointed, hash_sample
+
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -99,19 +101,20 @@ def archive_head(dictionary: bytes) -> bytes:
 
 
 def read_archive(content: bytes) -> Iterator[bytes]:
-    """The records of an archive, with the dictionary in its head."""
+    """The records of an archive, a frame each, with the dictionary in its head; a frame is fed in slices, so no rest is copied."""
     magic, n = struct.unpack_from("<II", content)
     if magic != SKIPPABLE:
         raise ValueError("an archive without its dictionary frame")
-    dictionary = zstandard.ZstdCompressionDict(content[8 : 8 + n]) if n else None
+    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8 : 8 + n]) if n else None)
     view, at = memoryview(content), 8 + n
     while at < len(content):
-        d = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-        record = d.decompress(view[at:])
-        at = len(content) - len(d.unused_data)
-        if not d.eof:
-            raise ValueError("a truncated archive")
-        yield record
+        frame, out = press.decompressobj(), []
+        while not frame.eof:
+            if at >= len(content):
+                raise ValueError("a truncated archive")
+            out.append(frame.decompress(view[at : at + 8192]))
+            at = min(at + 8192, len(content)) - len(frame.unused_data)
+        yield b"".join(out)
 
 
 def _write_file(folder: str, name: str, content: bytes) -> None:
@@ -195,11 +198,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.join(last, F.col("digest") == F.col("d"), "left")
     older = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     rows = rows.select("page_id", "url", "html", "digest", F.when(older, F.col("last")).alias("refers_to"))
-    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.substring(html, 1, 1 << 16).alias("html")).orderBy(F.xxhash64("page_id", "url")).limit(sample)
+    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.substring(html, 1, 1 << 16).alias("html"))
+    chosen = hash_sample(chosen, ["page_id", "url"], sample)
     records = [make_record(r.page_id, r.url, _payload(r.html), "A" * 32) for r in chosen.collect()]
     shared = spark.sparkContext.broadcast(train_dictionary(records, dictionary_bytes))
-    from spindrift.llm._common import checkpointed
-
     return checkpointed(rows.mapInArrow(_archive(folder, shared), "file string, records long, bytes long"))
 
 
