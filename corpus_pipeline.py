@@ -12,11 +12,18 @@ from spindrift.llm._common import crc_mod, written
 LEAST_SCORE = 0.5
 
 
+def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with further columns of these names renamed, and how to select docs' own columns again."""
+    other = {c: f"__{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(other), [F.col(other.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a calibrated probability of LEAST_SCORE or more; lang stays as it was."""
     model = langid.train(docs.where(crc_mod("doc_id", 3) != 1))
-    told = langid.identify(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    plain, own = _apart(docs, "lang_pred", "score", "row")
+    told = langid.identify(plain, model)
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated 100-byte strings out of the texts; a document of which nothing is left goes."""
-    cut = suffix_dedup.remove_repeats(docs, threshold=100, keep="text")
+    plain, own = _apart(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    cut = suffix_dedup.remove_repeats(plain, threshold=100, keep="text")
     kept = cut.where("n_removed = 0 or length(trim(kept)) > 0").withColumnRenamed("kept", "text")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*own)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the session's size of an Arrow batch to `most` bytes, if it is larger.
+
+    Both sides of a Python worker hold whole batches several times over; texts of
+    a few kilobytes would otherwise come in tens of megabytes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if (int(now.rstrip("kmg")) << unit) > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as compressed Parquet in the shared folder and read back."""
     path = scratch(df.sparkSession, name)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import MISSING_ID, batch, checkpointed, mix, order_id, utf8
+from spindrift.llm._common import MISSING_ID, batch, bounded_batches, checkpointed, mix, order_id, utf8
 from spindrift.llm.components import components
 from spindrift.llm.shingles import MinHash, shingle_sets
 
@@ -271,6 +271,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 def _grouped(docs: DataFrame, id_col, text_col, words, threshold, bands, rows, tolerance) -> tuple[DataFrame, DataFrame]:
     """(id, text, cls) of docs, and cls, rep, group, class_id, n_copies, n_links of every class of equal texts."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cls", F.xxhash64("text"))
     classes = base.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max(F.octet_length("text")).alias("bytes"))

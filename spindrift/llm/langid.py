@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.llm._common import bounded_batches
+
 BITS = 15
 UNKNOWN = "und"
 _STEP = np.uint32(0x9E3779B1)
@@ -142,6 +144,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_languages: int = 200) -> LanguageModel | None:
     """A model of the labelled rows (null languages and texts without a letter are left out), or None if there are none."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
     counts = {r.lang: r["count"] for r in labelled.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
@@ -165,6 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     Repeated rows come out alike, ties go to the language that sorts first, an
     empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import hash_sample, utf8
+from spindrift.llm._common import bounded_batches, hash_sample, utf8
 
 LEAST, MEAN_BITS, MOST, RATE, LEVEL = 1024, 12, 16384, 8000, 12
 _GEAR = np.random.Generator(np.random.PCG64(51)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -242,5 +242,6 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are left out, an empty table gives no rows.
     """
     keys = docs.select(F.col(id_col).alias(id_col), F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), _key(text_col).alias("key"))
+    bounded_batches(docs.sparkSession)
     dictionary = train_dictionary(docs, text_col)
     return keys.join(restore(manifests(docs, text_col), chunks(docs, text_col, dictionary), dictionary=dictionary), "key").drop("key")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import written
+from spindrift.llm._common import bounded_batches, written
 
 END = 1
 MAIN_QUEUES = 1024
@@ -146,6 +146,7 @@ def pack(docs: DataFrame, length: int = 2048, ranks_path: str | None = None, id_
     and rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     ids = written(rows.mapInArrow(_tokenize(ranks_path), "task int, doc_id long, source string, n long, before long, ids binary"), "ids")
     shares = ids.groupBy("task", "source").agg(F.sum("n").alias("n"))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import RollingHash, batch, mix, order_id, slabs, utf8, utf8_bytes, written
+from spindrift.llm._common import RollingHash, batch, bounded_batches, mix, order_id, slabs, utf8, utf8_bytes, written
 
 DIGIT = 32
 SEGMENT = 2 << 20
@@ -392,6 +392,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     Clashing column names do not matter: the result's five columns replace any
     of the same name.  An empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", f"kept {'string' if keep == 'text' else 'binary'}"]
     names = [x.split()[0] for x in out]
     rest = [c for c in docs.columns if c not in (*names, text_col)]

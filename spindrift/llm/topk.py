@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import hash_sample, written
+from spindrift.llm._common import bounded_batches, hash_sample, written
 
 SCALE = 1024
 ROWS, QUERIES = 4096, 1024
@@ -215,6 +215,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     without queries, gives no rows.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     ready = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding")).mapInArrow(_quantize, "id long, dim int, norm2 long, packed binary"), "vectors")
     common = ready.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("longest")).orderBy(F.desc("n"), "dim").first()
     if common is None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import checkpointed, written
+from spindrift.llm._common import bounded_batches, checkpointed, written
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5)
@@ -189,6 +189,7 @@ def score_toxicity(
     clash with the result's are replaced.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rest = [c for c in docs.columns if c not in (text_col, "score", "predicted", "evidence")]
     types = dict(docs.dtypes)
     text = F.col(text_col).cast("string").alias("text")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import checkpointed, hash_sample
+from spindrift.llm._common import bounded_batches, checkpointed, hash_sample
 
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -191,6 +191,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     writes nothing.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     # the largest id and whether there is a smaller one, of every payload; pre-aggregated, whatever the number of copies
