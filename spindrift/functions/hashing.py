@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def content_hash(value) -> str:
@@ -21,7 +22,7 @@ def stable_hash(value) -> str:
 
 
 def _hash_udf(fn):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(text: pd.Series) -> pd.Series:
         def one(t):
             try:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from spindrift.functions.expressions import distance, grade
@@ -166,7 +167,7 @@ def photometrics(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.select(*keys, "width", "height", "bgr").mapInPandas(run, ddl)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rotation_between(a: pd.Series, b: pd.Series) -> pd.Series:
     """Degrees between two rotation vectors, by their quaternions."""
 

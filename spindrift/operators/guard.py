@@ -30,14 +30,19 @@ class HardLimits:
         """Whether a step's chunk or state breaks any limit; null vectors break none."""
         chunk, state = F.col(chunk), F.col(state)
         rules = []
-        for low, high in ((self.joint_low, self.joint_high), (self.box_low, self.box_high)):
-            if low or high:
 
-                def out(v, low=low, high=high):
-                    parts = [F.element_at(v, k + 1) < x for k, x in enumerate(low)] + [F.element_at(v, k + 1) > x for k, x in enumerate(high)]
-                    return F.coalesce(F.greatest(*[p.cast("int") for p in parts]) if len(parts) > 1 else parts[0].cast("int"), F.lit(0)) == 1
+        def outside(low, high):
+            def rule(v):
+                parts = [F.element_at(v, k + 1) < x for k, x in enumerate(low)] + [F.element_at(v, k + 1) > x for k, x in enumerate(high)]
+                return F.coalesce(F.greatest(*[p.cast("int") for p in parts], F.lit(0)), F.lit(0)) == 1
 
-                rules += [F.exists(chunk, out), out(state)] if (low, high) == (self.joint_low, self.joint_high) else [F.exists(chunk, out)]
+            return rule
+
+        if self.joint_low or self.joint_high:
+            joint = outside(self.joint_low, self.joint_high)
+            rules += [F.exists(chunk, joint), joint(state)]
+        if self.box_low or self.box_high:
+            rules.append(F.exists(chunk, outside(self.box_low, self.box_high)))
         if self.max_norm is not None:
             rules.append(F.exists(chunk, lambda v: norm(v) > self.max_norm))
         if self.max_abs is not None:

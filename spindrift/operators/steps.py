@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from spindrift.functions.expressions import chunk_variance, distance, mean_vector, norm
 
-EPISODE = Window.partitionBy("episode_id").orderBy("step")
+
+def _episode():
+    return Window.partitionBy("episode_id").orderBy("step")
 
 
 def numbered(frames: DataFrame, key: str, order: list, fps: float = 30.0, most_episodes: int | None = None) -> DataFrame:
@@ -25,8 +27,8 @@ def numbered(frames: DataFrame, key: str, order: list, fps: float = 30.0, most_e
 
 def motion(steps: DataFrame, vector: str = "action", name: str = "motion") -> DataFrame:
     """Distance to the step before; the first step takes the second's, a lone one 0."""
-    back = distance(vector, F.lag(vector).over(EPISODE))
-    ahead = distance(F.lead(vector).over(EPISODE), vector)
+    back = distance(vector, F.lag(vector).over(_episode()))
+    ahead = distance(F.lead(vector).over(_episode()), vector)
     return steps.withColumn(name, F.coalesce(back, ahead, F.lit(0.0)))
 
 
@@ -37,7 +39,7 @@ def runs(flags: DataFrame, flag: str) -> DataFrame:
     the episode ends with it.
     """
     own = Window.partitionBy("episode_id", flag).orderBy("step")
-    marked = flags.withColumn("island", F.row_number().over(EPISODE) - F.row_number().over(own)).withColumn("next_t", F.lead("t").over(EPISODE)).where(F.col(flag))
+    marked = flags.withColumn("island", F.row_number().over(_episode()) - F.row_number().over(own)).withColumn("next_t", F.lead("t").over(_episode())).where(F.col(flag))
     return marked.groupBy("episode_id", "island").agg(
         F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count("*").alias("n"), F.min("t").alias("t_start"), F.max_by(F.coalesce("next_t", "t"), "step").alias("t_end")
     ).drop("island")
@@ -45,19 +47,19 @@ def runs(flags: DataFrame, flag: str) -> DataFrame:
 
 def toggles(steps: DataFrame, flag: str) -> DataFrame:
     """How often the flag changes in each episode."""
-    before = F.lag(flag).over(EPISODE)
+    before = F.lag(flag).over(_episode())
     return steps.withColumn("__c", (F.col(flag) != before).cast("int")).groupBy("episode_id").agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("toggles"))
 
 
 def forward_chunks(steps: DataFrame, size: int, vector: str = "action") -> DataFrame:
     """chunk: the vectors of this step and the next ones; steps too near the end are left out."""
-    w = EPISODE.rowsBetween(0, size - 1)
+    w = _episode().rowsBetween(0, size - 1)
     return steps.withColumn("chunk", F.collect_list(vector).over(w)).where(F.size("chunk") == size)
 
 
 def trailing_chunks(steps: DataFrame, size: int, vector: str = "action") -> DataFrame:
     """chunk: the vectors up to this step, padded at the front with the episode's first."""
-    w = EPISODE.rowsBetween(-(size - 1), 0)
+    w = _episode().rowsBetween(-(size - 1), 0)
     seen = F.collect_list(vector).over(w)
     return steps.withColumn("chunk", F.concat(F.array_repeat(F.element_at(seen, 1), F.greatest(F.lit(0), F.lit(size) - F.size(seen))), seen))
 
@@ -68,7 +70,7 @@ def chunk_consistency(steps: DataFrame, stride: int | None = None) -> DataFrame:
     The stride is half a chunk unless given; chunks that do not overlap are
     compared at their ends.
     """
-    before, size = F.lag("chunk").over(EPISODE), F.size("chunk")
+    before, size = F.lag("chunk").over(_episode()), F.size("chunk")
     s = F.lit(stride) if stride is not None else F.greatest(F.lit(1), F.floor(size / 2).cast("int"))
     pairs = F.when(s < size, F.zip_with(F.slice(F.col("before"), s + 1, size - s), F.slice(F.col("chunk"), F.lit(1), size - s), distance)).otherwise(
         F.array(distance(F.element_at("before", -1), F.element_at("chunk", 1)))
@@ -79,7 +81,7 @@ def chunk_consistency(steps: DataFrame, stride: int | None = None) -> DataFrame:
 
 def temporal_inconsistency(steps: DataFrame) -> DataFrame:
     """Per episode: mean distance of every chunk's overlap (by one step) with the next, and mean chunk variance."""
-    before, size = F.lag("chunk").over(EPISODE), F.size("chunk")
+    before, size = F.lag("chunk").over(_episode()), F.size("chunk")
     gaps = F.zip_with(F.slice(F.col("before"), F.lit(2), size - 1), F.slice(F.col("chunk"), F.lit(1), size - 1), distance)
     got = steps.withColumn("before", before).select("episode_id", F.explode_outer(F.when((size > 1) & F.col("before").isNotNull(), gaps)).alias("gap"))
     gap = got.groupBy("episode_id").agg(F.coalesce(F.avg("gap"), F.lit(0.0)).alias("temporal_inconsistency"))
@@ -90,8 +92,8 @@ def temporal_inconsistency(steps: DataFrame) -> DataFrame:
 def stagnation_raw(steps: DataFrame, window: int = 25) -> DataFrame:
     """raw: mean motion of the chunk means over the last `window` moves; null at the first step."""
     mid = mean_vector("chunk")
-    moved = steps.withColumn("mid", mid).withColumn("move", distance("mid", F.lag("mid").over(EPISODE)))
-    return moved.withColumn("raw", F.avg("move").over(EPISODE.rowsBetween(-(window - 1), 0))).drop("mid", "move")
+    moved = steps.withColumn("mid", mid).withColumn("move", distance("mid", F.lag("mid").over(_episode())))
+    return moved.withColumn("raw", F.avg("move").over(_episode().rowsBetween(-(window - 1), 0))).drop("mid", "move")
 
 
 def stagnation_score(steps: DataFrame, floor: float, log_mean: float, log_std: float) -> Column:
@@ -118,7 +120,7 @@ def moments(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFram
 
 def raw_motion(steps: DataFrame, vector: str = "action") -> DataFrame:
     """Per episode: steps, mean and total motion, and the spread of the vectors about their mean."""
-    back = distance(vector, F.lag(vector).over(EPISODE))
+    back = distance(vector, F.lag(vector).over(_episode()))
     long = steps.withColumn("m", back)
     sums = long.groupBy("episode_id").agg(F.count("*").alias("n_steps"), F.coalesce(F.avg("m"), F.lit(0.0)).alias("motion"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("total"))
     flat = steps.select("episode_id", F.posexplode(vector).alias("dim", "x")).groupBy("episode_id", "dim").agg(F.stddev_pop("x").alias("sd"))

@@ -43,15 +43,13 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim("policy").alias("policy"), F.coalesce(task, F.lit("ALL")).alias("task"), F.trim("successes").cast("int").alias("successes"), F.trim("trials").cast("int").alias("trials"), F.monotonically_increasing_id().alias("pos"))
 
 
-EPISODE = T.StructType.fromDDL(
-    """schema_version string, episode_id string, task string, instruction string, policy string, robot string, unit_id string, site_id string, session_id string, condition string, pair_id string,
+EPISODE = """schema_version string, episode_id string, task string, instruction string, policy string, robot string, unit_id string, site_id string, session_id string, condition string, pair_id string,
     outcome struct<success:boolean,score:double,judged_by:string,judge_confidence:double,judge_model:string,abstained:boolean,notes:string>,
     failure struct<failure_class:string,subclass:string,t_first_evidence:double,evidence:array<string>,recovered:boolean,t_recovered:double>,
     interventions array<struct<t_start:double,t_end:double,source:string,reason:string,operator_id:string,failure_class:string>>,
     timing struct<t_start_utc:string,duration_s:double,time_to_success_s:double,timeout_s:double,control_hz:double,inference_hz_mean:double,inference_latency_p95_ms:double>,
     provenance struct<policy_fingerprint:string,policy_name:string,policy_weights_sha256:string,cell_fingerprint:string,unit_fingerprint:string,raw_log_uri:string,raw_log_sha256:string,dataset_repo_id:string,dataset_episode_index:int,logger:string,logger_version:string>,
     tags array<string>, created_at string"""
-)
 REQUIRED = ["episode_id", "task", "policy"]
 
 
@@ -75,7 +73,7 @@ def validate_episodes(spark: SparkSession, path: str) -> DataFrame:
     """(line, error) of each line of a log that is no valid episode: its number in its file, from 1, and what is wrong."""
     text = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     numbered = text.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.trim("value") != "")
-    parsed = numbered.withColumn("e", F.from_json("value", EPISODE.add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    parsed = numbered.withColumn("e", F.from_json("value", EPISODE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     judged = parsed.select("file", "line", "e.*").withColumn("error", F.when(F.col("_bad").isNotNull(), "malformed JSON").otherwise(_faults()))
     return judged.where("error is not null").select("file", "line", F.substring("error", 1, 200).alias("error"))
 
@@ -202,7 +200,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace("path", f"^.*{re.escape(base.split('://')[-1])}/", "").alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def safetensors_header(prefix):
     """The JSON header of a tensor file's first bytes: 8 bytes of length, little-endian, then the text; null if it is none."""
 
