@@ -109,6 +109,38 @@ ORACLE_SQL: dict[str, str] = {
                 WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)), 'allow') AS verdict
         FROM cut
     """,
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS rep, count(*) AS n_copies FROM documents GROUP BY ALL),
+        words AS (SELECT t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+        sets AS (
+            SELECT t, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                           WHEN len(w) > 0 THEN [array_to_string(w, ' ') || '#' || len(w)] ELSE [] END AS s
+            FROM words
+        ),
+        long AS (SELECT t, len(s) AS n, unnest(s) AS g FROM sets),
+        shared AS (SELECT a.t AS x, b.t AS y, count(*) AS k, any_value(a.n) AS nx, any_value(b.n) AS ny FROM long a JOIN long b ON a.g = b.g AND a.t <> b.t GROUP BY a.t, b.t),
+        links AS (SELECT x, y FROM shared WHERE k >= 0.8 * (nx + ny - k) - 1e-9),
+        reach AS (SELECT x AS a, y AS b FROM links UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x),
+        least AS (SELECT a, min(rep) AS c FROM reach JOIN texts ON b = t GROUP BY a),
+        degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+        SELECT doc_id, least(rep, coalesce(c, rep)) AS class_id, n_copies, coalesce(n_links, 0)::BIGINT AS n_links
+        FROM documents JOIN texts ON coalesce(text, '') = t LEFT JOIN least ON a = t LEFT JOIN degree ON x = t
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS hex FROM p),
+        e AS (
+            SELECT *, array_to_string([
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::INTEGER >> (15 - 5 * (k % 4))) & 31)::INTEGER, 1)
+                FOR k IN range(32)], '') AS payload_digest
+            FROM d
+        ),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM e)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN last END AS refers_to
+        FROM l
+    """,
     "op6_topk": """
         WITH usable AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
