@@ -64,6 +64,27 @@ def bootstrap_interval(pairs: DataFrame, key: str, alpha: float = 0.05, rounds:
     return counted.groupBy(key).applyInPandas(draw, f"{key} {kind}, n long, estimate double, lower double, upper double")
 
 
+def bootstrap_unpaired(trials: DataFrame, key: str, a: str, b: str, value: str = "success", alpha: float = 0.05, rounds: int = 2000, seed: int = 0) -> DataFrame:
+    """Percentile bootstrap of mean(b) - mean(a) per group, each arm resampled on its own from its counts of distinct values."""
+    counted = trials.where(F.col("policy").isin(a, b)).groupBy(key, (F.col("policy") == b).alias("is_b"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    kind = dict(trials.dtypes)[key]
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng, means, centre, total = np.random.Generator(np.random.PCG64(seed)), [], [], 0
+        for side in (False, True):
+            own = pdf[pdf["is_b"] == side].sort_values("v")
+            n, v = own["n"].to_numpy(), own["v"].to_numpy(float)
+            if not n.sum():
+                return pd.DataFrame([], columns=[key, "n", "estimate", "lower", "upper"])
+            means.append(rng.multinomial(n.sum(), n / n.sum(), size=rounds) @ v / n.sum())
+            centre.append(n @ v / n.sum())
+            total += int(n.sum())
+        low, high = np.percentile(means[1] - means[0], [50 * alpha, 100 - 50 * alpha])
+        return pd.DataFrame([(pdf[key].iloc[0], total, float(centre[1] - centre[0]), float(low), float(high))], columns=[key, "n", "estimate", "lower", "upper"])
+
+    return counted.groupBy(key).applyInPandas(draw, f"{key} {kind}, n long, estimate double, lower double, upper double")
+
+
 def confidence_sequence(pairs: DataFrame, keys: list[str], order: list, alpha: float = 0.05, lam_cap: float = 0.5) -> DataFrame:
     """Empirical-Bernstein confidence sequence of mean(b - a), a row per pair, by two stacked prefix windows."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -793,3 +793,98 @@ def frame_subsample(spark, d):
 def stable_units(spark, d):
     e = V.table(spark, d, "events").select("event_type", F.floor(X.unit_float(F.col("event_id").cast("string")) * 4294967296.0).cast("long").alias("b"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("b").alias("checks"))
+
+
+# ---- further operators
+
+
+@query(f"WITH {_POP} SELECT stat, {r('quantile_cont(value, 0.25)', 'q25')}, {r('quantile_cont(value, 0.5)', 'q50')}, {r('quantile_cont(value, 0.75)', 'q75')} FROM pop GROUP BY stat")
+def statistic_quartiles(spark, d):
+    q = _population(spark, d).groupBy("stat").agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("q"))
+    return rounded(q.select("stat", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75")))
+
+
+@query("""WITH e AS (SELECT cast(user_id AS VARCHAR) AS unit_id, 'j' || (event_id % 2) AS joint, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts) AS k, user_id FROM events), c AS (SELECT unit_id, joint, k * 0.1::DOUBLE AS t, sin(k / 7.0::DOUBLE + user_id) AS cmd FROM e),
+    g AS (SELECT *, lead(t) OVER w - t AS gap, lead(cmd) OVER w AS n, lag(cmd) OVER w AS p FROM c WINDOW w AS (PARTITION BY unit_id, joint ORDER BY t)), m AS (SELECT *, median(gap) OVER (PARTITION BY unit_id, joint) AS dt FROM g)
+    SELECT unit_id, joint, round(t, 6) + 0.0 AS t, round(coalesce((n - p) / (2 * dt), (n - cmd) / dt, (cmd - p) / dt), 6) + 0.0 AS v FROM m""")
+def command_velocity(spark, d):
+    v = fingerprint.velocity(V.excitation(spark, d), ["unit_id", "joint"], "cmd")
+    return rounded(v.select("unit_id", "joint", "t", "v"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'valid' WHEN o_orderkey % 4 = 1 THEN 'valid' WHEN o_orderkey % 4 = 2 THEN 'subclass' ELSE 'class' END AS verdict FROM orders")
+def taxonomy_check(spark, d):
+    from spindrift.functions.taxonomy import CLASSES, SUBCLASSES
+
+    k = F.col("o_orderkey") % 4
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(k == 3, "no_such_class").otherwise("grasp").alias("kind"), F.when(k == 0, "slip").when(k == 2, "jam").otherwise(None).alias("sub"))
+    pairs_ = F.array(*[F.lit(f"{c}/{s}") for c in CLASSES for s in SUBCLASSES[c]])
+    bad_sub = F.col("sub").isNotNull() & ~F.array_contains(pairs_, F.concat_ws("/", "kind", "sub"))
+    return o.select("k", F.when(~F.col("kind").isin(CLASSES), "class").when(bad_sub, "subclass").otherwise("valid").alias("verdict"))
+
+
+@query(f"WITH {V.TRIALS} SELECT policy, count(*) FILTER (task = 'F') AS \"F\", count(*) FILTER (task = 'O') AS \"O\", count(*) FILTER (task = 'P') AS \"P\" FROM trials GROUP BY policy")
+def outcome_pivot(spark, d):
+    return V.trials(spark, d).groupBy("policy").pivot("task", ["F", "O", "P"]).count().na.fill(0)
+
+
+@query(f"WITH {V.TRIALS} SELECT policy, task, sum(success)::BIGINT AS successes, count(*) AS trials FROM trials GROUP BY ALL")
+def trial_claims(spark, d):
+    from spindrift.sources.imports import claims_of
+
+    return claims_of(V.trials(spark, d))
+
+
+@query(f"WITH {V.STEPS} SELECT {r('avg(x)', 'x_mean')}, {r('greatest(stddev_samp(x), 1e-12)', 'x_std')}, {r('avg(y)', 'y_mean')}, {r('greatest(stddev_samp(y), 1e-12)', 'y_std')} FROM steps")
+def action_moments(spark, d):
+    s = V.steps(spark, d).select(F.col("action")[0].alias("x"), F.col("action")[1].alias("y"))
+    return rounded(steps.moments(s, ["x", "y"]))
+
+
+@query(f"""WITH {_CHUNKS} SELECT episode_id, step, {r('var_pop4x + var_pop4y', 'variance', 11)} FROM (SELECT *, list_var_pop([x, x1, x2, x3]) AS var_pop4x, list_var_pop([y, y1, y2, y3]) AS var_pop4y FROM full4)""")
+def chunk_variance(spark, d):
+    c = steps.forward_chunks(V.steps(spark, d), 4)
+    return rounded(c.select("episode_id", "step", X.chunk_variance("chunk").alias("variance")), 11)
+
+
+@query(f"""WITH {_CHUNKS}, q AS (SELECT *, lag(x1) OVER e AS px1, lag(y1) OVER e AS py1, lag(x2) OVER e AS px2, lag(y2) OVER e AS py2, lag(x3) OVER e AS px3, lag(y3) OVER e AS py3 FROM full4 WINDOW e AS (PARTITION BY episode_id ORDER BY step))
+    SELECT episode_id, {r('coalesce(avg(CASE WHEN px1 IS NOT NULL THEN (sqrt((px1 - x) ** 2 + (py1 - y) ** 2) + sqrt((px2 - x1) ** 2 + (py2 - y1) ** 2) + sqrt((px3 - x2) ** 2 + (py3 - y2) ** 2)) / 3 END), 0)', 'temporal_inconsistency')} FROM q GROUP BY episode_id""")
+def temporal_inconsistency(spark, d):
+    return rounded(steps.temporal_inconsistency(steps.forward_chunks(V.steps(spark, d), 4)).select("episode_id", "temporal_inconsistency"))
+
+
+@query(f"WITH {V.STEPS}, n AS (SELECT episode_id, dense_rank() OVER (ORDER BY episode_id) AS k, step, t FROM steps) SELECT episode_id, step::INTEGER AS step, round(step / 30.0::DOUBLE, 6) + 0.0 AS t FROM n WHERE k <= 5")
+def episode_assembly(spark, d):
+    e = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("episode_id"), "ts")
+    return rounded(steps.numbered(e, "episode_id", ["ts"], fps=30.0, most_episodes=5).select("episode_id", F.col("step").cast("int").alias("step"), "t"))
+
+
+@query(f"""WITH {V.TRIALS}, s AS (SELECT cast(pos AS VARCHAR) AS scenario_hash, pos AS index, success FROM trials), d AS (SELECT count(*) FILTER (success = 1) AS passed, count(*) AS n FROM s) SELECT passed, n, {w3('passed', 'n', 'rate', 'lower', 'upper')} FROM d""")
+def overall_rate(spark, d):
+    t = V.trials(spark, d).agg(F.sum("success").cast("long").alias("passed"), F.count("*").alias("n"))
+    w = X.wilson("passed", "n")
+    return rounded(t.select("passed", "n", w["estimate"].alias("rate"), w["lower"].alias("lower"), w["upper"].alias("upper")))
+
+
+@query()
+def unpaired_bootstrap(spark, d):
+    t = V.trials(spark, d)
+    return rounded(pairs.bootstrap_unpaired(t, "task", "1-URGENT", "5-LOW"))
+
+
+@query()
+def baseline_detectors(spark, d):
+    from spindrift.operators import detectors
+
+    e = V.embeddings(spark, d)
+    nominal = e.where("label = 0")
+    return rounded(e.select("vec_id", detectors.pca(nominal)("features").alias("pca"), detectors.mixture_density(nominal, parts=2, rounds=5)("features").alias("density"), detectors.isolation_forest(nominal, trees=20)("features").alias("isolation")), 4)
+
+
+@query()
+def guard_replay(spark, d):
+    from spindrift.operators import guard_model
+
+    s = steps.trailing_chunks(V.steps(spark, d), 4).select("episode_id", "step", "t", F.col("action").alias("features"), "chunk", F.lit(None).cast("array<double>").alias("state"))
+    model = guard_model.fit(s.where(F.col("episode_id").cast("int") % 3 != 0), alpha=0.1)
+    return rounded(guard.episodes_of(model.replay(s)))
