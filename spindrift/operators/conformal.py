@@ -188,7 +188,7 @@ def lookup_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds t_fail and t_succ of the row's task, or of '__default__' where the task has none."""
     own = thresholds.where("task <> '__default__'").select(F.col("task").alias("__t"), F.col("t_fail").alias("__f"), F.col("t_succ").alias("__s"))
     base = thresholds.where("task = '__default__'").select(F.col("t_fail").alias("__bf"), F.col("t_succ").alias("__bs"))
-    joined = scored.join(own, F.col("task") == F.col("__t"), "left").join(base, F.lit(True), "left")  # the default is one row
+    joined = scored.join(own, F.col("task") == F.col("__t"), "left").join(F.broadcast(base), F.lit(True), "left")  # the default is one row
     return joined.select(*scored.columns, F.coalesce("__f", "__bf").alias("t_fail"), F.coalesce("__s", "__bs").alias("t_succ"))
 
 

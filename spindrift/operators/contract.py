@@ -44,9 +44,12 @@ def check_cameras(evaluated: DataFrame, deployed: DataFrame, keys: list[str] = (
     side = lambda df, s: df.select(*keys, "name", *[F.col(c).alias(f"{s}_{c}") for c in columns], F.lit(True).alias(f"in_{s}"))
     j = side(evaluated, "a").join(side(deployed, "b"), [*keys, "name"], "full")
     differ = j.groupBy(*keys).agg(F.bool_or(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("differ")).where("differ is not null")
-    on = keys or F.lit(True)
     sets = differ.where("differ").select(*keys, F.lit("observation.cameras").alias("field"), F.lit("fatal").alias("finding"))
-    same = j.join(differ.where("not differ").drop("differ"), on, "left_semi" if keys else "inner") if keys else j.join(differ.where("not differ"), F.lit(True)).drop("differ")
+    alike = differ.where("not differ")
+    if keys:
+        same = j.join(alike.select(*keys), keys, "left_semi")
+    else:
+        same = j.join(F.broadcast(alike), F.lit(True)).drop("differ")  # one row or none
     hashed = lambda c: F.when(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull(), "warn").when(F.col(f"a_{c}") != F.col(f"b_{c}"), "fatal")
     size = F.when((F.col("a_width") != F.col("b_width")) | (F.col("a_height") != F.col("b_height")), "warn")
     rows = F.array(*[F.struct(F.concat(F.lit("observation.cameras["), "name", F.lit(f"].{c}")).alias("field"), f.alias("finding")) for c, f in (("resolution", size), ("intrinsics_sha256", hashed("intrinsics_sha256")), ("extrinsics_sha256", hashed("extrinsics_sha256")))])

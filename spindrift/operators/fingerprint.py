@@ -98,7 +98,7 @@ def drift_alarms(long: DataFrame, fit: str, calibration: str, alpha: float = 0.0
     model = drift_model(long.where(F.col("part") == fit))
     scores = drift_scores(long, model).join(long.select("unit_id", "part").distinct(), "unit_id")
     limit = guard_quantile(scores.where(F.col("part") == calibration), [], "score", alpha).select("threshold")
-    return scores.join(limit, F.lit(True)).select("unit_id", "part", "score", "threshold", (F.col("score") > F.col("threshold")).alias("alarm"), "worst")  # the threshold is one row
+    return scores.join(F.broadcast(limit), F.lit(True)).select("unit_id", "part", "score", "threshold", (F.col("score") > F.col("threshold")).alias("alarm"), "worst")  # the threshold is one row
 
 
 def explain_drift(long: DataFrame, model: DataFrame, top: int = 5) -> DataFrame:

@@ -49,10 +49,10 @@ def schedule(spark: SparkSession, policies: list[str], conditions: list[str], re
     p = spark.createDataFrame([(x,) for x in policies], "policy string")
     p = p.withColumn("label", F.char(F.lit(64) + F.row_number().over(Window.orderBy(deal(F.lit("label"), F.col("policy"))))))
     c = spark.createDataFrame([(x,) for x in conditions], "condition string")
-    grid = c.join(spark.range(repeats).withColumnRenamed("id", "repeat"), F.lit(True))
+    grid = F.broadcast(c).join(spark.range(repeats).withColumnRenamed("id", "repeat"), F.lit(True))
     blocks = grid.withColumn("block", (F.row_number().over(Window.orderBy("repeat", deal(F.lit("block"), F.col("repeat").cast("string"), F.col("condition")))) - 1))
     blocks = blocks.withColumn("pair_id", F.substring(F.sha1(F.concat_ws("-", F.lit(str(seed)), F.col("block").cast("string"), F.col("condition")).cast("binary")), 1, 8))
-    slots = blocks.join(p, F.lit(True))  # policies x conditions x repeats is the schedule itself
+    slots = blocks.join(F.broadcast(p), F.lit(True))  # policies x conditions x repeats is the schedule itself
     order = Window.orderBy("block", deal(F.lit("slot"), F.col("block").cast("string"), F.col("policy")))
     return slots.select((F.row_number().over(order) - 1).alias("slot"), "block", "condition", "policy", "label", "pair_id")
 

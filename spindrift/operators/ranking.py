@@ -85,4 +85,4 @@ def auroc_bootstrap(scored: DataFrame, rounds: int = 400, seed: int = 0, alpha:
     part = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + 0.5 * F.col("neg"))
     each = weighted.withColumn("part", part).groupBy("round").agg((F.sum("part") / (F.sum("pos") * F.sum("neg"))).alias("a"))
     bounds = each.agg(F.percentile("a", [alpha / 2, 1 - alpha / 2]).alias("p"))
-    return auroc(scored).join(bounds, F.lit(True)).select("auroc", "n_pos", "n_neg", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))
+    return auroc(scored).join(F.broadcast(bounds), F.lit(True)).select("auroc", "n_pos", "n_neg", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))

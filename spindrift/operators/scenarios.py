@@ -50,7 +50,7 @@ def diff(a: DataFrame, b: DataFrame, alpha: float = 0.05) -> DataFrame:
     s = sequential_test(pairs, ["one"], ["index"], alpha, stop_early=False).select("decision")
     wa, wb = wilson("a_passed", "n", alpha), wilson("b_passed", "n", alpha)
     rates = counts.select("*", wa["estimate"].alias("a_rate"), wa["lower"].alias("a_lower"), wa["upper"].alias("a_upper"), wb["estimate"].alias("b_rate"), wb["lower"].alias("b_lower"), wb["upper"].alias("b_upper"))
-    return rates.join(p, F.lit(True)).join(s, F.lit(True))  # one row each
+    return rates.join(F.broadcast(p), F.lit(True)).join(F.broadcast(s), F.lit(True))  # one row each
 
 
 def changed(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def hotspots(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     inside = within.join(F.broadcast(cut_rules(own, 0.2, 0.8, 7)), "factor")
     inside = inside.where(F.when(F.col("op") == ">", F.col("value") > F.col("cut")).otherwise(F.col("value") <= F.col("cut")))
     total = own.select("scenario_hash", "broken").distinct().agg(F.count("*").alias("n"), F.sum(F.col("broken").cast("long")).alias("b"))
-    pairs = inside.groupBy("f1", "o1", "c1", "l1", "factor", "op", "cut").agg(F.count("*").alias("n_in"), F.sum(F.col("broken").cast("long")).alias("b_in")).join(total, F.lit(True))
+    pairs = inside.groupBy("f1", "o1", "c1", "l1", "factor", "op", "cut").agg(F.count("*").alias("n_in"), F.sum(F.col("broken").cast("long")).alias("b_in")).join(F.broadcast(total), F.lit(True))
     pairs = pairs.withColumn("n_out", F.col("n") - F.col("n_in")).withColumn("b_out", F.col("b") - F.col("b_in"))
     pairs = enriched(pairs, LEAST_PAIR, alpha).where(F.col("lift") > F.col("l1") * LIFT)
     cond = lambda f, o, c: F.concat_ws(" ", f, o, F.format_number(c, 6))

@@ -106,7 +106,7 @@ def stagnation_fit(steps: DataFrame, floor_fraction: float = 0.05) -> DataFrame:
     """floor, log_mean, log_std of raw over nominal steps: the floor first, then the logs' moments."""
     raw = steps.where("raw is not null")
     floor = raw.agg(F.greatest(F.percentile("raw", 0.5) * floor_fraction, F.lit(1e-12)).alias("floor"))
-    logs = raw.join(floor, F.lit(True)).withColumn("l", F.log(F.col("raw") + F.col("floor")))  # the floor is one row
+    logs = raw.join(F.broadcast(floor), F.lit(True)).withColumn("l", F.log(F.col("raw") + F.col("floor")))  # the floor is one row
     return logs.agg(F.first("floor").alias("floor"), F.avg("l").alias("log_mean"), F.greatest(F.stddev_samp("l"), F.lit(1e-12)).alias("log_std"))
 
 

@@ -653,7 +653,7 @@ def run_diff(spark, d):
 def run_decision(spark, d):
     got = scenarios.diff(V.run(spark, d, "a"), V.run(spark, d, "b"))
     floor = scenarios.noise_floor(V.run(spark, d, "a"), V.run(spark, d, "a2")).select(F.col("broken").alias("floor"))
-    return got.join(floor, F.lit(True)).select("decision", scenarios.recommendation(F.col("decision"), F.col("broken"), F.col("floor"), F.lit(False)).alias("recommendation"))
+    return got.join(F.broadcast(floor), F.lit(True)).select("decision", scenarios.recommendation(F.col("decision"), F.col("broken"), F.col("floor"), F.lit(False)).alias("recommendation"))
 
 
 @query(f"""WITH {V.RUN_A}, shards AS (SELECT scenario_hash FROM run_a WHERE index % 9 <> 0 UNION ALL SELECT scenario_hash FROM run_a WHERE index % 40 = 1), battery AS (SELECT scenario_hash FROM run_a WHERE index % 31 <> 0)

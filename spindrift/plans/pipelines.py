@@ -32,7 +32,7 @@ def judge_by_actions(features: DataFrame, labels: DataFrame, target: float = 0.1
     model = judge.fit_fusion(rows.where("part = 'train'"), steps.FEATURES)
     scored = rows.withColumn("score", model.probability())
     cuts = conformal.calibrate(scored.where("part = 'cal'").select("score", "y"), target)
-    test = scored.where("part = 'test'").join(cuts.select("t_fail", "t_succ"), F.lit(True))  # the cuts are one row
+    test = scored.where("part = 'test'").join(F.broadcast(cuts.select("t_fail", "t_succ")), F.lit(True))  # the cuts are one row
     return cuts, test.select("episode_id", "y", "score", "duration_s", F.lit("ALL").alias("task"), abstain_decision("score", "t_fail", "t_succ").alias("decision"))
 
 
