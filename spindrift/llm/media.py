@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm._common import bounded_batches, hash_sample, utf8
 
-LEAST, MEAN_BITS, MOST, RATE, LEVEL = 1024, 12, 16384, 8000, 12
+LEAST, MEAN_BITS, MOST, RATE, LEVEL = 1024, 12, 16384, 8000, 19
 _GEAR = np.random.Generator(np.random.PCG64(51)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -177,12 +177,12 @@ def feature(payload: bytes, n_chunks: int) -> str:
     return f"mean={level.mean():.4f};rms={np.sqrt((level * level).mean()):.4f};crossings={int((sign[1:] != sign[:-1]).sum())};mode={int(np.bincount(x >> 4, minlength=16).argmax())};chunks={n_chunks}"
 
 
-RESTORED = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+RESTORED = "key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, media binary"
 
 
 def _restore(with_media: bool, shared):
     names = [x.split()[0] for x in RESTORED.split(", ")][: 8 if with_media else 7]
-    types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: len(names)]
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, key, parts, count, out = zstandard.ZstdDecompressor(dict_data=_shared(shared.value)), None, [], 0, []
@@ -194,7 +194,7 @@ def _restore(with_media: bool, shared):
             payload = samples(file)
             if hashlib.sha256(file).digest() != hashlib.sha256(wave(payload)).digest():
                 raise ValueError("media differ from their payload")
-            got = (key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(payload, count), file)
+            got = (key, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).digest(), feature(payload, count), file)
             out.append(got[: len(names)])
 
         def emit():
@@ -223,15 +223,25 @@ def _restore(with_media: bool, shared):
     return run
 
 
+def _restored(lists: DataFrame, store: DataFrame, with_media: bool, dictionary: bytes) -> DataFrame:
+    """As restore, with digests as bytes, which take half the room in a shuffle."""
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = lists.join(store, "digest", "left").select("key", "ordinal", "count", "digest", "packed")
+    ddl = RESTORED if with_media else RESTORED.rpartition(", ")[0]
+    shared = lists.sparkSession.sparkContext.broadcast(dictionary)
+    return joined.repartition(n, "key").sortWithinPartitions("key", "ordinal").mapInArrow(_restore(with_media, shared), ddl)
+
+
+def _hexed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
+
+
 def restore(lists: DataFrame, store: DataFrame, with_media: bool = False, dictionary: bytes = b"") -> DataFrame:
     """Each listed payload read back from the store: sizes, digests, features and, if asked for, the media file.
 
     A missing or altered chunk makes the job fail; nothing is returned unchecked.
     """
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = lists.join(store, "digest", "left").select("key", "ordinal", "count", "digest", "packed")
-    ddl = RESTORED if with_media else RESTORED.rpartition(", ")[0]
-    return joined.repartition(n, "key").sortWithinPartitions("key", "ordinal").mapInArrow(_restore(with_media, lists.sparkSession.sparkContext.broadcast(dictionary)), ddl)
+    return _hexed(_restored(lists, store, with_media, dictionary))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,4 +254,5 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = docs.select(F.col(id_col).alias(id_col), F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), _key(text_col).alias("key"))
     bounded_batches(docs.sparkSession)
     dictionary = train_dictionary(docs, text_col)
-    return keys.join(restore(manifests(docs, text_col), chunks(docs, text_col, dictionary), dictionary=dictionary), "key").drop("key")
+    found = _restored(manifests(docs, text_col), chunks(docs, text_col, dictionary), False, dictionary)
+    return _hexed(keys.join(found, "key").drop("key"))
