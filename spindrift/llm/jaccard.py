@@ -31,7 +31,8 @@ from spindrift.llm.components import components
 from spindrift.llm.shingles import MinHash, shingle_sets
 
 BAND = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("hub", pa.int64())])
-FLUSH = 2_000_000
+#: Band rows that a map task holds before it ties them, and classes it remembers.
+FLUSH, SEEN = 1_000_000, 500_000
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 STEP = 20
 
@@ -67,7 +68,7 @@ def _map_bands(words: int, bands: int, rows: int):
                 if c not in seen:
                     seen.add(c)
                     fresh[r] = True
-            if len(seen) > FLUSH:
+            if len(seen) > SEEN:
                 seen.clear()
             for r, hashes in shingle_sets(data, offsets, words):
                 if not fresh[r] or not len(hashes):
