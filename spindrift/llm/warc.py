@@ -41,7 +41,7 @@ def record_id(page_id, digest: str) -> str:
 
 def safe_uri(url: str | None) -> str:
     """The URL with white space and control characters percent-encoded, for a header line."""
-    return re.sub(r"[\x00-\x20\x7f-\xa0  -     　]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
 
 
 def make_record(page_id, url: str | None, payload: bytes, digest: str, response_id=None) -> bytes:
