@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,19 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, f"{most}b")
 
 
+def releasing(f):
+    """A batch function that, once done, gives the memory it has freed back to the system, as workers stay for later stages."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as compressed Parquet in the shared folder and read back."""
     path = scratch(df.sparkSession, name)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import MISSING_ID, batch, bounded_batches, checkpointed, mix, order_id, utf8
+from spindrift.llm._common import MISSING_ID, batch, bounded_batches, checkpointed, mix, order_id, releasing, utf8
 from spindrift.llm.components import components
 from spindrift.llm.shingles import MinHash, shingle_sets
 
@@ -276,8 +276,8 @@ def _grouped(docs: DataFrame, id_col, text_col, words, threshold, bands, rows, t
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cls", F.xxhash64("text"))
     classes = base.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max(F.octet_length("text")).alias("bytes"))
-    found = base.select("cls", "text").mapInArrow(_map_bands(words, bands, rows), "key long, cls long, hub long")
-    ties = found.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_stars, "a long, b long")
+    found = base.select("cls", "text").mapInArrow(releasing(_map_bands(words, bands, rows)), "key long, cls long, hub long")
+    ties = found.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(releasing(_stars), "a long, b long")
     comps = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
 
     members = checkpointed(comps.join(classes, "cls").select("cls", "comp", "rep", "bytes"))
@@ -285,11 +285,11 @@ def _grouped(docs: DataFrame, id_col, text_col, words, threshold, bands, rows, t
     members = members.join(blocks, "comp")
     picked = members.select(F.coalesce("rep", F.lit(MISSING_ID)).alias("k"), F.col("cls").alias("c"), "comp", "nb")
     texts = base.withColumn("k", order_id("id")).join(picked, "k").where("c = cls").select("cls", "comp", "nb", "text")
-    features = texts.mapInArrow(_map_features(words, bands * rows), "cls long, comp long, nb int, signature binary, shingles binary")
+    features = texts.mapInArrow(releasing(_map_features(words, bands * rows)), "cls long, comp long, nb int, signature binary, shingles binary")
     own = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
     dealt = features.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "signature", "shingles")
-    verified = dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls").mapInArrow(_verify(threshold, tolerance, bands * rows), "cls long, links long, root long")
+    verified = dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls").mapInArrow(releasing(_verify(threshold, tolerance, bands * rows)), "cls long, links long, root long")
     verified = checkpointed(verified)
     groups = components(verified.select(F.col("cls").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cls"), F.col("label").alias("group"))
     links = verified.groupBy("cls").agg(F.sum("links").alias("n_links"))

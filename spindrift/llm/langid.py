@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches
+from spindrift.llm._common import bounded_batches, releasing
 
 BITS = 15
 UNKNOWN = "und"
@@ -154,7 +154,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     near = rows.where(unit < share[F.col("lang")])
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
     picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("text", "lang")
-    got = picked.mapInArrow(_features, "buckets binary, counts binary, lang string").collect()
+    got = picked.mapInArrow(releasing(_features), "buckets binary, counts binary, lang string").collect()
     samples = [(np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32).astype(np.int64), r.lang) for r in got]
     samples.sort(key=lambda s: (s[2], s[0].tobytes(), s[1].tobytes()))
     return fit(samples) if samples else None
@@ -191,4 +191,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
 
     ddl = "row struct<" + ",".join(f"`{c}`:{types[c]}" for c in rest) + ">, lang_pred string, score double"
     text = [] if keep_text else [F.col(text_col).cast("string").alias("text")]
-    return docs.select(F.struct(*rest).alias("row"), *text).mapInArrow(run, ddl).select("row.*", "lang_pred", "score")
+    return docs.select(F.struct(*rest).alias("row"), *text).mapInArrow(releasing(run), ddl).select("row.*", "lang_pred", "score")

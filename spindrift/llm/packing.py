@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, written
+from spindrift.llm._common import bounded_batches, releasing, written
 
 END = 1
 MAIN_QUEUES = 1024
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, length: int = 2048, ranks_path: str | None = None, id_
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    ids = written(rows.mapInArrow(_tokenize(ranks_path), "task int, doc_id long, source string, n long, before long, ids binary"), "ids")
+    ids = written(rows.mapInArrow(releasing(_tokenize(ranks_path)), "task int, doc_id long, source string, n long, before long, ids binary"), "ids")
     shares = ids.groupBy("task", "source").agg(F.sum("n").alias("n"))
     total = shares.agg(F.sum("n")).first()[0] or 0
     if not total:
@@ -167,4 +167,4 @@ def pack(docs: DataFrame, length: int = 2048, ranks_path: str | None = None, id_
     before = Window.partitionBy("queue").orderBy("task", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     bases = shares.select(F.col("task").alias("t"), F.col("source").alias("s"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = ids.join(bases, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n", "before", "ids", "queue", "base")
-    return placed.mapInArrow(_pieces(totals, length), PIECE)
+    return placed.mapInArrow(releasing(_pieces(totals, length)), PIECE)

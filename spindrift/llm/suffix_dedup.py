@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import RollingHash, batch, bounded_batches, mix, order_id, slabs, utf8, utf8_bytes, written
+from spindrift.llm._common import RollingHash, batch, bounded_batches, mix, order_id, releasing, slabs, utf8, utf8_bytes, written
 
 DIGIT = 32
 SEGMENT = 2 << 20
@@ -343,21 +343,21 @@ def repeated_starts(docs: DataFrame, threshold: int = 100, digit: int = DIGIT) -
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def settled(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "covers", "id", "place").mapInArrow(_sorted_runs, RUN_DDL)
+        return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "covers", "id", "place").mapInArrow(releasing(_sorted_runs), RUN_DDL)
 
-    found = written(settled(docs.mapInArrow(_map_runs(threshold, digit), RUN_DDL)), "runs")
+    found = written(settled(docs.mapInArrow(releasing(_map_runs(threshold, digit)), RUN_DDL)), "runs")
     tag = F.expr("cast(shiftright(place, 20) & 4095 as short)").alias("tag")
     open_ = found.where("known = 0").groupBy("id", tag).agg(F.collect_list("place").alias("places"))
-    packed = docs.mapInArrow(_pack, "id long, tag short, packed binary")
-    contexts = packed.join(open_, ["id", "tag"]).select("id", "packed", "places").mapInArrow(_map_contexts(threshold, digit), CONTEXT_DDL)
+    packed = docs.mapInArrow(releasing(_pack), "id long, tag short, packed binary")
+    contexts = packed.join(open_, ["id", "tag"]).select("id", "packed", "places").mapInArrow(releasing(_map_contexts(threshold, digit)), CONTEXT_DDL)
     contexts = written(contexts, "contexts")
     limit = max(LIMIT, contexts.count() // MOST_HOT)
     hot = [r.half for r in contexts.groupBy("half").count().where(F.col("count") > limit).select("half").collect()]
     large = F.col("half").isin(hot) if hot else F.lit(False)
-    again = contexts.where(~large).repartition(n, "half").sortWithinPartitions("half").mapInArrow(_resolve(threshold), RUN_DDL)
+    again = contexts.where(~large).repartition(n, "half").sortWithinPartitions("half").mapInArrow(releasing(_resolve(threshold)), RUN_DDL)
     parts = [found.where("known = 1"), again]
     if hot:
-        parts.append(settled(contexts.where(large).mapInArrow(_map_windows(threshold), RUN_DDL)).where("known = 1"))
+        parts.append(settled(contexts.where(large).mapInArrow(releasing(_map_windows(threshold)), RUN_DDL)).where("known = 1"))
     return reduce(DataFrame.unionByName, parts).select("id", tag, F.expr("cast(shiftright(place, 32) as int)").alias("start"), F.expr("cast(place & 1048575 as int)").alias("count"))
 
 
@@ -408,7 +408,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
             texts = pa.array([press.compress(data[offsets[r] : offsets[r + 1]].tobytes()) for r in range(b.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["tag"], texts], names=["row", "id", "tag", "packed"])
 
-    keyed = docs.select(F.struct(*rest).alias("row"), *key).mapInArrow(pack, f"{row_ddl}, id long, tag short, packed binary")
+    keyed = docs.select(F.struct(*rest).alias("row"), *key).mapInArrow(releasing(pack), f"{row_ddl}, id long, tag short, packed binary")
     keyed = keyed.join(spans, ["id", "tag"], "left").select("row", "packed", "spans")
     ddl = f"{row_ddl}, " + ", ".join(out if keep else out[:-1])
 
@@ -428,5 +428,5 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
             arrays = [b["row"], *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays if keep else arrays[:-1], names=["row", *names] if keep else ["row", *names[:-1]])
 
-    done = keyed.mapInArrow(cut, ddl)
+    done = keyed.mapInArrow(releasing(cut), ddl)
     return done.select("row.*", *[n for n in names if keep or n != "kept"])
