@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 The classifier is fitted on a bounded sample: at most `examples` labelled rows
-of each label, chosen by a hash of the id.  Its terms are the words, and word
-beginnings of 3 to 5 characters, that occur in toxic examples more than chance
-allows (G² of at least `least_g2`, at most `most_terms` of them); their inverse
-document frequencies are counted over all documents.  Votes are turned into
+of each label, chosen by a hash of the id.  The vectors' terms are all words of
+the examples, and their beginnings of 3 to 5 characters, without selection;
+their inverse document frequencies are counted over all documents, and a term
+weighs more the more it tells of the label (by its G² among the examples), none
+less than its TF-IDF.  Every document is searched with all its terms; those that no example has match
+nothing and do not count in the document's length.  Votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out
 votes, weighted to the label counts of all learnable rows.
 """
@@ -27,6 +29,12 @@ from spindrift.llm._common import bounded_batches, checkpointed, written
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5)
 BLOCK = 64
+#: A term that more than one in so many examples have is kept as a whole row of weights.
+COMMON = 16
+#: G² at which a term weighs twice its TF-IDF.
+TELLING = 12.0
+#: Documents whose common terms are multiplied at once; always so many rows, so that equal texts get equal sums.
+SLAB = 64
 
 
 def terms_of(word: str) -> list[str]:
@@ -34,55 +42,109 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, end), one after the other."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of the examples in blocks, with each block's largest weight of each term."""
-
-    weights: np.ndarray  # terms x examples, padded to whole blocks
-    largest: np.ndarray  # terms x blocks
+    """Sparse unit vectors of the examples in blocks: whole rows of the common terms, and of each other term its postings and its largest weight in each block that has it."""
+
+    common: np.ndarray  # row in dense of each term, or -1
+    dense: np.ndarray  # common terms x examples, padded to whole blocks
+    start: np.ndarray  # where each other term's blocks start
+    block: np.ndarray
+    largest: np.ndarray
+    first: np.ndarray  # where each block's postings start
+    example: np.ndarray
+    weight: np.ndarray
     n: int
+    plain: tuple
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> BlockMaxIndex:
-        n, terms = vectors.shape
-        padded = np.zeros((terms, -(-max(n, 1) // BLOCK) * BLOCK), np.float32)
-        padded[:, :n] = vectors.T
-        return cls(padded, padded.reshape(terms, -1, BLOCK).max(axis=2), n)
+        row, at = np.nonzero(vectors)
+        return cls.of(row, at, vectors[row, at], *vectors.shape)
 
-    def nearest(self, at: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, row: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int, terms: int) -> BlockMaxIndex:
+        """From the weights of single (example, term)."""
+        order = np.lexsort((row, at))
+        return cls._sorted(row[order].astype(np.int32), weights[order].astype(np.float32), np.bincount(at, minlength=terms).astype(np.int32), n)
+
+    @classmethod
+    def _sorted(cls, row, weights, held, n) -> BlockMaxIndex:
+        blocks, terms = -(-max(n, 1) // BLOCK), len(held)
+        at = np.repeat(np.arange(terms), held)
+        chosen = held * COMMON > n
+        common = np.where(chosen, np.cumsum(chosen) - 1, -1)
+        dense = np.zeros((int(chosen.sum()), blocks * BLOCK), np.float32)
+        is_common = chosen[at]
+        dense[common[at[is_common]], row[is_common]] = weights[is_common]
+        plain = (row, weights, held, n)
+        row, at, weights = row[~is_common], at[~is_common], weights[~is_common]
+        first = np.flatnonzero(np.diff(at * blocks + row // BLOCK, prepend=-1))
+        largest = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0, np.float32)
+        start = np.searchsorted(at[first], np.arange(terms + 1))
+        return cls(common, dense, start, (row // BLOCK)[first], largest, np.append(first, len(row)), row, weights, n, plain)
+
+    def __reduce__(self):
+        return BlockMaxIndex._sorted, self.plain  # the tables that follow from it are made anew where it is used
+
+    def common_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]):
+        """What the common terms of each of the (at, values) add to all examples."""
+        for k in range(0, len(queries), SLAB):
+            q = np.zeros((SLAB, len(self.dense)), np.float32)
+            for i, (at, values) in enumerate(queries[k : k + SLAB]):
+                c = self.common[at]
+                q[i, c[c >= 0]] = values[c >= 0]
+            yield from (q @ self.dense)[: len(queries) - k]
+
+    def nearest(self, at: np.ndarray, values: np.ndarray, k: int, without: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine over zero (ties: the earlier one), and those cosines, exactly.
 
-        Blocks are read by falling bound until none can hold a better example.
+        Blocks are read by falling bound, ever more at once, until none can hold a better example.
         """
-        bounds = values @ self.largest[at]
+        if sums is None:
+            sums = next(self.common_sums([(at, values)]))
+        rare = self.common[at] < 0
+        at, values = at[rare], values[rare]
+        entry = _ranges(self.start[at], self.start[at + 1])
+        of, value = self.block[entry], np.repeat(values, self.start[at + 1] - self.start[at])
+        bounds = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(of, self.largest[entry] * value, len(sums) // BLOCK)
         order = np.argsort(-bounds, kind="stable")
-        best, score, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        for b in order.tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < least - 1e-6):
-                break
-            lo = b * BLOCK
-            s = values @ self.weights[at, lo : lo + BLOCK]
-            if lo <= without < lo + BLOCK:
-                s[without - lo] = 0
-            got = np.flatnonzero(s > 0)
-            best, score = np.append(best, got + lo), np.append(score, s[got])
+        order = order[bounds[order] > 0]
+        best, score, least, size = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 4
+        while len(order):
+            now, order, size = order[:size], order[size:], 4 * size
+            read = np.zeros(len(bounds), bool)
+            read[now] = True
+            own = np.flatnonzero(read[of])
+            lo, hi = self.first[entry[own]], self.first[entry[own] + 1]
+            post = _ranges(lo, hi)
+            s = sums + np.bincount(self.example[post], self.weight[post] * np.repeat(value[own], hi - lo), len(sums))
+            got = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got = got[(s[got] > 0) & (got != without)]
+            best, score = np.append(best, got), np.append(score, s[got].astype(np.float32))
             if len(best) > k:
                 top = np.lexsort((best, -score))[:k]
                 best, score = best[top], score[top]
             least = float(score.min()) if len(best) == k else 0.0
+            order = order[bounds[order] >= least - 1e-6]
         top = np.lexsort((best, -score))
         return best[top], score[top]
 
 
 @dataclass
 class ToxicityModel:
-    terms: dict[str, int]
     idf: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
     ids: list
     k: int
-    base: float  # score of texts without any of the terms
+    base: float  # score of texts without any term of the examples
     slope: float = 1.0
     shift: float = 0.0
 
@@ -90,18 +152,38 @@ class ToxicityModel:
         x = ((1 + np.log(counts)) * self.idf[at]).astype(np.float32)
         return x / max(float(np.sqrt(x @ x)), 1e-12)
 
-    def vote(self, at, x, without: int = -1):
-        near, cosine = self.index.nearest(at, x, self.k, without)
+    def vote(self, at, x, without: int = -1, sums=None):
+        near, cosine = self.index.nearest(at, x, self.k, without, sums)
         weight = cosine.astype(np.float64) ** 2
         share = (weight @ self.labels[near] + 0.5 * self.base) / (weight.sum() + 0.5)
         return float(np.log(share) - np.log1p(-share)), near, cosine
 
-    def score(self, at, counts):
-        if not len(at):
-            return self.base, [], []
-        z, near, cosine = self.vote(at, self.vector(at, counts))
-        p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -35, 35)))
-        return float(p), near[:3], cosine[:3]
+    def votes(self, queries, own: bool = False):
+        """Of each unit vector (at, values); own: they are the examples, in order, and each is left out of its vote."""
+        for i, ((at, x), sums) in enumerate(zip(queries, self.index.common_sums(queries), strict=True)):
+            yield self.vote(at, x, i if own else -1, sums)
+
+    def scores(self, rows):
+        """score, nearest examples and cosines of each (at, counts)."""
+        votes = self.votes([(at, self.vector(at, counts)) for at, counts in rows if len(at)])
+        for at, _ in rows:
+            if not len(at):
+                yield self.base, [], []
+                continue
+            z, near, cosine = next(votes)
+            p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -35, 35)))
+            yield float(p), near[:3], cosine[:3]
+
+
+def emphasis(a, b, n_a, n_b):
+    """Factor of at least 1 for terms that a of n_a toxic and b of n_b other examples have, by G² where toxic ones have them more often."""
+    if not n_a or not n_b:
+        return np.ones(len(a))
+    share = (a + b) / (n_a + n_b)
+    g2 = np.zeros(len(a))
+    for seen, expected in ((a, n_a * share), (b, n_b * share), (n_a - a, n_a * (1 - share)), (n_b - b, n_b * (1 - share))):
+        g2 += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+    return 1 + np.where(a * n_b > b * n_a, np.maximum(g2, 0), 0) / TELLING
 
 
 def logistic_curve(z, y, w, rounds: int = 50) -> tuple[float, float]:
@@ -119,72 +201,70 @@ def logistic_curve(z, y, w, rounds: int = 50) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
-            counts[y].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-    names = [t for t in counts[1]]  # terms that no toxic example has are not looked for
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64())], names=["term", "toxic"])
+        found = {t for text in b["text"] for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms_of(w)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
 
 
-def _count_chosen(terms: dict[str, int], label: int | None):
-    """How many documents have each of the terms."""
+def _extract(shared):
+    """(row, packed): how often each of the terms stands in the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter()
+        terms = shared.value
+        known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            texts = b["text"].to_pylist() if label is None else [t for t, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True) if y == label]
-            for text in texts:
-                counts.update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w) if t in terms})
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            out = []
+            for t in b["text"]:
+                ids, times = [], []
+                for w, n in Counter(WORD.findall((t.as_py() or "").lower())).items():
+                    own = known.get(w)
+                    if own is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        own = known[w] = tuple(terms[x] for x in terms_of(w) if x in terms)
+                    ids.extend(own)
+                    times.extend([n] * len(own))
+                keys, which = np.unique(np.array(ids, np.int32), return_inverse=True)
+                out.append(_packed(keys, np.bincount(which, np.array(times, np.int64), len(keys))))
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.binary())], names=["row", "packed"])
 
     return run
 
 
-def _extract(terms: dict[str, int]):
-    """(row, at, counts): how often each of the terms stands in the whole text."""
+def _packed(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Gaps and counts by falling significance of their bytes, most of which are zero."""
+    return np.concatenate([np.diff(at, prepend=0), counts]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, counts = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int64), counts
+
+
+def _count_held(n: int):
+    """How many documents have each of the n terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        held = np.zeros(n, np.int64)
         for b in batches:
-            at, counts = [], []
-            for t in b["text"]:
-                own: Counter = Counter()
-                for w in WORD.findall((t.as_py() or "").lower()):
-                    ids = known.get(w)
-                    if ids is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        ids = known[w] = tuple(terms[x] for x in terms_of(w) if x in terms)
-                    if ids:
-                        own.update(ids)
-                keys = sorted(own)
-                at.append(keys)
-                counts.append([own[k] for k in keys])
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["row", "at", "counts"])
+            for packed in b["packed"]:
+                held[_unpacked(packed.as_py())[0]] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["at", "n"])
 
     return run
 
 
-def _g2(a, b, n_a, n_b):
-    """G² of a term in a of n_a toxic and b of n_b other examples."""
-    share = (a + b) / (n_a + n_b)
-    out = np.zeros(len(a))
-    for seen, expected in ((a, n_a * share), (b, n_b * share), (n_a - a, n_a * (1 - share)), (n_b - b, n_b * (1 - share))):
-        out += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
-    return 2 * out
-
-
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = 3000, most_terms: int = 1024, least_g2: float = 12.0, k: int = 15
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = 3000, k: int = 15
 ) -> DataFrame:
     """All columns of docs but the text, then score, predicted, evidence (ids and cosines of the nearest examples).
 
     labels has the rows that may be learnt from: id_col and label_col 0 or 1; null
     ids or labels are left out, and of several labels of one id the largest
-    counts.  Texts that are null, empty or have none of the terms get the rate of
-    toxic rows among such examples.  Without labels every score is 0.  Equal
+    counts.  Texts that are null, empty or have no term of any example get the rate
+    of toxic rows among examples without a word.  Without labels every score is 0.  Equal
     texts get equal scores; an empty table stays empty; columns of docs that
     clash with the result's are replaced.
     """
@@ -207,21 +287,22 @@ def score_toxicity(
         sample = checkpointed(docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(picked), "id").dropDuplicates(["id"]))
         size = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
         if size:
-            model = _fit(docs, sample, size, total, text, most_terms, least_g2, k)
+            model = _fit(sample, size, total, k)
     if model is None:
         found = docs.select(F.struct(*rest).alias("row")).select("row", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("cast(array() as array<struct<id:long,cosine:double>>)").alias("evidence"))
         return found.select("row.*", "score", "predicted", "evidence")
-    features = written(docs.select(F.struct(*rest).alias("row"), text).mapInArrow(_extract(model[0].terms), f"{row_ddl}, at array<int>, counts array<int>"), "terms")
-    df = {r.at: r.n for r in features.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}
-    n = features.count()
-    shared = spark.sparkContext.broadcast(model[1](np.array([np.log((1 + n) / (1 + df.get(t, 0))) + 0.1 for t in range(len(model[0].terms))])))
+    model, terms, complete = model
+    features = written(docs.select(F.struct(*rest).alias("row"), text).mapInArrow(_extract(terms), f"{row_ddl}, packed binary"), "terms")
+    df = features.select("packed").mapInArrow(_count_held(len(model.idf)), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n, held = features.count(), np.zeros(len(model.idf))
+    held[df["at"].to_numpy()] = df["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(complete(np.log((1 + n) / (1 + held)) + 0.1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             scores, evidence = [], []
-            for at, counts in zip(b["at"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                p, near, cosine = model.score(np.array(at, np.int64), np.array(counts, np.float64))
+            for p, near, cosine in model.scores([_unpacked(x) for x in b["packed"].to_pylist()]):
                 scores.append(p)
                 evidence.append([{"id": model.ids[i], "cosine": float(c)} for i, c in zip(near, cosine, strict=True)])
             kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())]))
@@ -230,40 +311,32 @@ def score_toxicity(
     return features.mapInArrow(run, result).select("row.*", "score", "predicted", "evidence")
 
 
-def _fit(docs, sample, size, total, text, most_terms, least_g2, k):
-    """The model without frequencies, and a function that completes it with them."""
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    counted = sample.select("text", "y").mapInArrow(_count_terms, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-    # ranked by what they could reach at best, so that only likely terms are counted among the others
-    likely = [(r.term, r.toxic) for r in counted.where("toxic >= 3").orderBy(F.desc("toxic"), "term").limit(40 * most_terms).collect()]
-    chosen = {t: i for i, (t, _) in enumerate(likely)}
-    other = {r.term: r.n for r in sample.select("text", "y").mapInArrow(_count_chosen(chosen, 0), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    terms: dict[str, int] = {}
-    if likely and n0:
-        a, b = np.array([x for _, x in likely], float), np.array([other.get(t, 0) for t, _ in likely], float)
-        g2 = _g2(a, b, n1, n0)
-        good = np.flatnonzero((g2 >= least_g2) & (a / n1 > 4 * b / n0))
-        good = good[np.lexsort(([likely[i][0] for i in good], -g2[good]))][:most_terms]
-        terms = {likely[i][0]: j for j, i in enumerate(good.tolist())}
-    rows = sample.select(F.struct("id", "y").alias("row"), "text").mapInArrow(_extract(terms), "row struct<id:long,y:int>, at array<int>, counts array<int>").collect()
-    rows = sorted(rows, key=lambda r: r.row.id)
-    scale = {y: total[y] / size[y] for y in size}
-    without = [scale[r.row.y] * np.array([r.row.y, 1]) for r in rows if not r.at]
-    toxic, seen = np.sum(without, axis=0) if without else (0.0, 0.0)
-    base = float((toxic + 0.01) / (seen + 1))
-    own = [r for r in rows if r.at]
-    model = ToxicityModel(terms, np.ones(len(terms)), None, np.array([r.row.y for r in own], float), [r.row.id for r in own], k, base)
+def _fit(sample, size, total, k):
+    """The model without frequencies, its terms for the tasks, and a function that completes it with the frequencies."""
+    spark = sample.sparkSession
+    found = sample.select("text").mapInArrow(_terms, "term string").distinct().toArrow()["term"].to_pylist()
+    terms = spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(found))})
+    # at most 2 x `examples` rows
+    rows = sample.select(F.struct("id", "y").alias("row"), "text").mapInArrow(_extract(terms), "row struct<id:long,y:int>, packed binary")
+    rows = rows.select("row.id", "row.y", "packed").toArrow().sort_by("id").combine_chunks()
+    ids, y = rows["id"].to_numpy(), rows["y"].to_numpy()
+    at, counts = zip(*[_unpacked(x) for x in rows["packed"].to_pylist()], strict=True)
+    scale = np.array([total[label] / size[label] for label in y.tolist()])
+    own = np.array([len(a) > 0 for a in at], bool)
+    base = float(((scale * y)[~own].sum() + 0.01) / (scale[~own].sum() + 1))
+    at, counts = ([x for x, has in zip(lists, own, strict=True) if has] for lists in (at, counts))
+    toxic, other = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(a for a, label in zip(at, y[own], strict=True) if label == kind)]), minlength=len(found)) for kind in (1, 0))
+    factor = emphasis(toxic.astype(float), other.astype(float), size.get(1, 0), size.get(0, 0))
+    model = ToxicityModel(np.ones(len(found)), None, y[own].astype(float), ids[own].tolist(), k, base)
 
     def complete(idf: np.ndarray) -> ToxicityModel:
-        model.idf = idf
-        vectors = np.zeros((len(own), max(len(terms), 1)), np.float32)
-        for i, r in enumerate(own):
-            at = np.array(r.at, np.int64)
-            vectors[i, at] = model.vector(at, np.array(r.counts, float))
-        model.index = BlockMaxIndex.build(vectors)
-        if own:
-            z = np.array([model.vote(np.array(r.at, np.int64), vectors[i, r.at], i)[0] for i, r in enumerate(own)])
-            model.slope, model.shift = logistic_curve(z, model.labels, np.array([scale[r.row.y] for r in own]))
+        model.idf = idf * factor
+        queries = [(a, model.vector(a, c)) for a, c in zip(at, counts, strict=True)]
+        flat = [np.concatenate([q[j] for q in queries]) if queries else np.zeros(0, t) for j, t in ((0, np.int64), (1, np.float32))]
+        model.index = BlockMaxIndex.of(np.repeat(np.arange(len(at)), [len(a) for a in at]), flat[0].astype(np.int64), flat[1], len(at), len(idf))
+        if queries:
+            z = np.array([vote[0] for vote in model.votes(queries, own=True)])
+            model.slope, model.shift = logistic_curve(z, model.labels, scale[own])
         return model
 
-    return model, complete
+    return model, terms, complete

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,3 +63,23 @@ def test_edges(spark):
     got = toxicity.score_toxicity(docs, odd).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score_toxicity(docs.limit(0), odd).count() == 0
+
+
+def test_every_document_is_searched_with_all_its_terms(spark):
+    rows, labels = corpus(4, 400)
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id % 5 <> 0")).collect()
+    texts = {i: Counter(t for w in text.split() for t in toxicity.terms_of(w)) for i, text in rows}
+    df = Counter(t for c in texts.values() for t in c)
+    known = sorted({t for i, c in texts.items() if i % 5 for t in c})
+    has = [Counter(t for i, y in labels if i % 5 and y == kind for t in texts[i]) for kind in (1, 0)]
+    n = [sum(y == kind for i, y in labels if i % 5) for kind in (1, 0)]
+    factor = dict(zip(known, toxicity.emphasis(*(np.array([h[t] for t in known], float) for h in has), *n), strict=True))
+    assert min(factor.values()) == 1
+    unit = {}
+    for i, c in texts.items():
+        x = {t: (1 + np.log(m)) * (np.log((1 + len(rows)) / (1 + df[t])) + 0.1) * factor[t] for t, m in c.items() if t in factor}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        unit[i] = {t: v / size for t, v in x.items()}
+    for r in got[::7]:
+        want = sorted((sum(v * unit[j].get(t, 0) for t, v in unit[r.doc_id].items()) for j, _ in rows if j % 5), reverse=True)[:3]
+        assert [e.cosine for e in r.evidence] == pytest.approx(want, abs=1e-5)
