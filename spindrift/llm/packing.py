@@ -10,12 +10,17 @@ up the round robin at any window, with the deficits that all windows before it
 would have left.  As every id is packed exactly once, the proportions that can
 hold to the end are the sources' shares of all ids.
 
-Sources with under 1/1024 of the ids share one queue, so there are at most 1025
-queues and each is credited a whole id in every window.
+Sources with under 1/1024 of the ids (of short windows, under two ids a window)
+are the leaves of binary trees of bounded size, tied to one.  A node passes on
+the ids it is served to its two children by their totals, to the first the whole
+part of its credit and to the other the rest, so what any of these sources has
+been served also follows in closed form from the ids packed so far, and differs
+from its credit by a few ids at most, however rare it is.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +34,8 @@ from spindrift.llm._common import bounded_batches, releasing, written
 
 END = 1
 MAIN_QUEUES = 1024
+#: Mean number of rare sources in a tree.
+TREE = 512
 _ENCODERS: dict = {}
 
 
@@ -70,36 +77,103 @@ def _tokenize(ranks_path):
 
 
 class RoundRobin:
-    """Ids that each queue has served after any number of windows."""
+    """Ids that each queue has served after any number of windows, of which the rare sources have `rest` ids in all."""
 
-    def __init__(self, totals: list[int], length: int):
-        self.totals, self.length, self.all = totals, length, sum(totals)
+    def __init__(self, totals: list[int], length: int, rest: int = 0):
+        self.totals, self.length, self.own, self.all = totals, length, sum(totals), sum(totals) + rest
         self.kind = np.int64 if self.all < 3 * 10**9 else object  # exact products either way
 
     def served(self, windows: np.ndarray) -> np.ndarray:
-        ids = np.minimum(windows.astype(self.kind) * self.length, self.all)
+        ids = np.minimum(windows.astype(self.kind) * self.length, self.all) * self.own // self.all
         credit = ids[:, None] * np.array(self.totals, self.kind)[None, :]
-        whole = credit // self.all
-        deficit = (credit - whole * self.all).astype(np.float64 if self.kind is object else np.int64)
+        whole = credit // self.own
+        deficit = (credit - whole * self.own).astype(np.float64 if self.kind is object else np.int64)
         spare = (ids - whole.sum(axis=1)).astype(np.int64)
         rank = np.argsort(np.argsort(-deficit, axis=1, kind="stable"), axis=1, kind="stable")
         return whole.astype(np.int64) + (rank < spare[:, None])
 
 
+def routes(totals: list[int]) -> list[list[int]]:
+    """Of each leaf of a Huffman tree over the totals: its parents' totals up to the root, negative where it comes second."""
+    heap, up, k = [(n, i) for i, n in enumerate(totals)], {}, len(totals)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (m, x), (n, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (k, m + n), (k, -m - n)
+        heapq.heappush(heap, (m + n, k))
+        k += 1
+    out = []
+    for x in range(len(totals)):
+        out.append([])
+        while x in up:
+            x, n = up[x]
+            out[-1].append(n)
+    return out
+
+
+def _kind(total: int):
+    return np.int64 if total < 3 * 10**9 else object
+
+
+def place(ids: np.ndarray, total: int, route: list[int]) -> np.ndarray:
+    """Where in the root's order the source of this total has its ids of these numbers."""
+    for t in route:
+        ids, whole = ids.astype(_kind(abs(t))), abs(t)
+        ids = -(-(ids + 1) * whole // total) - 1 if t > 0 else ids * whole // total
+        total = whole
+    return ids.astype(np.int64)
+
+
+def given(ids: np.ndarray, total: int, route: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the root's first ids: how many the source has, and how many those before it in the tree."""
+    nodes, before = [total, *map(abs, route)], np.zeros(len(ids), np.int64)
+    for k in range(len(route) - 1, -1, -1):
+        ids, whole = ids.astype(_kind(nodes[k + 1])), nodes[k + 1]
+        first = ids * (nodes[k] if route[k] > 0 else whole - nodes[k]) // whole
+        if route[k] < 0:
+            before = before + first.astype(np.int64)
+        ids = first if route[k] > 0 else ids - first
+    return ids.astype(np.int64), before
+
+
+def _rare_parts(docs: np.ndarray, begin: np.ndarray, n: np.ndarray, total: int, route: list[int], length: int):
+    """Pieces (document, start, size, window, offset) of documents of one rare source."""
+    ends = np.cumsum(n[docs])
+    for own in np.split(docs, np.searchsorted(ends, np.arange(1 << 18, int(ends[-1]), 1 << 18))):
+        if not len(own):
+            continue
+        size = n[own]
+        doc = np.repeat(np.arange(len(own)), size)
+        ids = np.repeat(begin[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        window = place(ids, total, route) // length
+        head = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0))
+        row, window, start = own[doc[head]], window[head], ids[head]
+        root = abs(route[-1]) if route else total
+        had, before = given(window * length, total, route)
+        _, after = given(np.minimum((window + 1) * length, root), total, route)
+        yield row, start - begin[row], np.diff(np.append(head, len(ids))), window, after - before + start - had
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _pieces(totals: list[int], length: int):
+def _pieces(totals: list[int], length: int, rest: int):
     names = [x.split()[0] for x in PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        robin = RoundRobin(totals, length)
+        robin = RoundRobin(totals, length, rest)
         last = -(-robin.all // length)
         for b in batches:
             queue, n = b["queue"].to_numpy(), b["n"].to_numpy()
             begin = b["base"].to_numpy() + b["before"].to_numpy()
             parts = []
-            for q in np.unique(queue).tolist():
+            rare, names_of = np.flatnonzero(queue < 0), {}
+            for r, source in zip(rare.tolist(), b["source"].take(pa.array(rare)).to_pylist(), strict=True):
+                names_of.setdefault(source, []).append(r)
+            for docs in names_of.values():
+                docs = np.array(docs)[np.argsort(begin[docs], kind="stable")]
+                parts += _rare_parts(docs, begin, n, b["total"][docs[0]].as_py(), b["route"][docs[0]].as_py(), length)
+            for q in np.unique(queue[queue >= 0]).tolist():
                 own = np.flatnonzero(queue == q)
                 share = totals[q] / robin.all * length
                 order = own[np.argsort(begin[own], kind="stable")]
@@ -153,18 +227,31 @@ def pack(docs: DataFrame, length: int = 2048, ranks_path: str | None = None, id_
     total = shares.agg(F.sum("n")).first()[0] or 0
     if not total:
         return spark.createDataFrame([], PIECE)
-    sources = shares.groupBy("source").agg(F.sum("n").alias("n"))
-    main = [(r.source, r.n) for r in sources.where(F.col("n") >= total / MAIN_QUEUES).orderBy(F.col("source").asc_nulls_last()).collect()]
+    sources = written(shares.groupBy("source").agg(F.sum("n").alias("n")), "sources")
+    is_main = F.col("n") >= total / max(1, min(MAIN_QUEUES, length // 2))
+    main = [(r.source, r.n) for r in sources.where(is_main).orderBy(F.col("source").asc_nulls_last()).collect()]
     totals = [n for _, n in main]
-    rest, rest_queue = total - sum(totals), len(main)
-    if rest and totals and rest * length < total:
-        rest_queue = min(range(len(totals)), key=totals.__getitem__)
-        totals[rest_queue] += rest
-    elif rest:
-        totals.append(rest)
-    queues = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(main)], "source string, queue int").withColumnRenamed("source", "s")
-    shares = shares.join(queues, F.col("source").eqNullSafe(F.col("s")), "left").select("task", "source", "n", F.coalesce("queue", F.lit(rest_queue)).alias("queue"))
-    before = Window.partitionBy("queue").orderBy("task", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    bases = shares.select(F.col("task").alias("t"), F.col("source").alias("s"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = ids.join(bases, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n", "before", "ids", "queue", "base")
-    return placed.mapInArrow(releasing(_pieces(totals, length)), PIECE)
+    rest = total - sum(totals)
+    queues = spark.createDataFrame([(s, k, 0, []) for k, (s, _) in enumerate(main)], "source string, queue int, total long, route array<long>")
+    if rest:
+        queues = queues.unionByName(_rare(sources.where(~is_main), rest, total))
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = shares.select("task", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = bases.join(queues.withColumnRenamed("source", "q"), F.col("source").eqNullSafe(F.col("q"))).select(F.col("task").alias("t"), F.col("source").alias("s"), "queue", "base", "total", "route")
+    placed = ids.join(bases, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n", "before", "ids", "queue", "base", "total", "route")
+    return placed.mapInArrow(releasing(_pieces(totals, length, rest)), PIECE)
+
+
+def _rare(sources: DataFrame, rest: int, total: int) -> DataFrame:
+    """source, queue -1, total and route of the rare sources: trees by hash of the source, tied by one tree, second to the main queues."""
+    trees = -(-sources.count() // TREE)
+    dealt = sources.withColumn("tree", F.pmod(F.xxhash64("source"), F.lit(trees)).cast("int"))
+    sums = [(r.tree, r.n) for r in dealt.groupBy("tree").agg(F.sum("n").alias("n")).orderBy("tree").collect()]
+    above = {t: [*route, *([-total] if rest < total else [])] for (t, _), route in zip(sums, routes([n for _, n in sums]), strict=True)}
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["source", "n", "tree"]).to_pylist(), key=lambda r: (r["n"], r["source"] is None, r["source"] or ""))
+        found = [route + above[r["tree"]] for r, route in zip(rows, routes([r["n"] for r in rows]), strict=True)]
+        return pa.table([pa.array([r["source"] for r in rows], pa.string()), pa.array([-1] * len(rows), pa.int32()), pa.array([r["n"] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["source", "queue", "total", "route"])
+
+    return dealt.groupBy("tree").applyInArrow(run, "source string, queue int, total long, route array<long>")

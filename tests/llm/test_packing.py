@@ -81,3 +81,22 @@ def test_ids_equal_the_tokenizers_file():
     for _ in range(2000):
         text = "".join(rnd.choices(pool, k=rnd.randint(0, 60)))
         assert encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n_main,length", [(0, 64), (2, 64), (1, 256)])
+def test_rare_sources_keep_their_proportions(spark, monkeypatch, n_main, length):
+    monkeypatch.setattr("spindrift.llm.packing.TREE", 40)
+    rnd = random.Random(length + n_main)
+    names = [None, *(f"rare{k}" for k in range(199))] + ["main0", "main1"][:n_main] * 100
+    rows = [(i, " ".join(rnd.choices(["the", "naïve", "42", "\n\n"], k=rnd.randint(0, 30))), rnd.choice(names)) for i in range(1500)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), length).collect()
+    check(rows, got, length)
+    total, share, own = sum(p.length for p in got), {}, {}
+    for p in got:
+        share[p.source] = share.get(p.source, 0) + p.length
+        own[p.source, p.sequence_id] = own.get((p.source, p.sequence_id), 0) + p.length
+    for source, n in share.items():
+        served = 0
+        for w in range(total // length):
+            served += own.get((source, w), 0)
+            assert abs(served - n * (w + 1) * length / total) < 5
