@@ -142,7 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *row)
     light = checkpointed(sized.select("id", "source", "size"))
     lengths = light.groupBy("source", "size").agg(F.count("*").alias("n"))
-    wanted = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    wanted = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights)
     per_length = lengths.join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "source_size", "target")
     plan = checkpointed(per_length.repartition(n, "source").sortWithinPartitions("source", "size").mapInArrow(_plan, PLAN_DDL))
 

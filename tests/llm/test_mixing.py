@@ -82,3 +82,10 @@ def test_ties_and_edges(spark):
     rows = [(None, None, "a b c"), (None, None, "a b c"), (7, "x", "word " * 100_000), (7, "x", "one")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), with_row=True).collect()
     assert len(got) == 4 and all(r.row.text for r in got)
+
+
+def test_other_weights_set_the_targets(spark):
+    rows = [(i, "abc"[i % 3], "w " * (1 + i % 7)) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1, 1, 4)).collect()
+    sizes = {r.source: r.source_size for r in got}
+    assert {r.source: r.target for r in got} == pytest.approx(expected_targets(sizes, (1, 1, 4)))
