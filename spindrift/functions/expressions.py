@@ -160,11 +160,18 @@ def policy_seed(seed, scenario_hash) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def leading_bits(text, start: int = 0) -> Column:
+    """Four bytes, big-endian, of the text's sha1 from byte `start` on, as a long."""
+    return F.conv(F.substring(F.sha1(_c(text).cast("binary")), 2 * start + 1, 8), 16, 10).cast("long")
+
+
 def unit_float(text) -> Column:
-    """A stable number in [0, 1) of a text: the first eight bytes of its sha1 over 2**64."""
-    digest = F.sha1(_c(text).cast("binary"))
-    high, low = (F.conv(F.substring(digest, s, 8), 16, 10).cast("double") for s in (1, 9))
-    return high / math.pow(2, 32) + low / math.pow(2, 64)
+    """A stable number of a text: the first eight bytes of its sha1 over 2**64, rounded to the nearest double.
+
+    Rounding may reach the next multiple of 2**-32; what must agree with the
+    digest's own bytes takes `leading_bits`.
+    """
+    return leading_bits(text) / math.pow(2, 32) + leading_bits(text, 4) / math.pow(2, 64)
 
 
 def evenly(n, k: int) -> Column:
