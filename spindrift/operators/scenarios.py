@@ -9,8 +9,11 @@ from pyspark.sql.window import Window
 from spindrift.functions.expressions import wilson
 from spindrift.functions.special import fisher_udf
 from spindrift.operators.pairs import paired_interval, sequential_test
+from spindrift.storage import settled
 
 LEAST_SINGLE, LEAST_PAIR, LIFT, MOST_RULES = 8, 15, 1.15, 5  # fixed values: what counts as a region
+#: Factors of a battery, above which mining raises, and the ranges that a factor's values are ranked in.
+MOST_FACTORS, STRIPES = 10_000, 256
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -90,31 +93,70 @@ def merge_check(shards: DataFrame, battery: DataFrame) -> DataFrame:
     return twice.unionByName(extra).unionByName(missing)
 
 
-def rule_supports(long: DataFrame, rules: DataFrame) -> DataFrame:
-    """n_in, b_in, n_out, b_out of each rule (factor, op, cut) over (scenario_hash, factor, value, broken).
+def gathered(long: DataFrame) -> DataFrame:
+    """(scenario_hash, broken, factors map<string,double>) of rows (scenario_hash, factor, value, broken)."""
+    entries = F.map_from_entries(F.collect_list(F.struct("factor", "value")))
+    return long.where("factor is not null").groupBy("scenario_hash").agg(F.max("broken").alias("broken"), entries.alias("factors"))
 
-    Rules are a small table of at most 18 per factor, so the join is by factor
-    with the rules broadcast, and counts are summed in the tasks first.
-    """
-    j = long.join(F.broadcast(rules), "factor")
+
+def value_counts(scenarios: DataFrame) -> DataFrame:
+    """(factor, value, n, b) of scenarios with broken and a map of factors: scenarios and broken ones at each distinct value, pre-aggregated."""
+    long = scenarios.select("broken", F.explode("factors").alias("factor", "value"))
+    return long.groupBy("factor", "value").agg(F.count("*").alias("n"), F.sum(F.col("broken").cast("long")).alias("b"))
+
+
+def rule_supports(counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """n_in, b_in, n_out, b_out of each rule (factor, op, cut) over value counts; rules are at most 18 per factor."""
+    j = counts.join(rules, "factor")
     inside = F.when(F.col("op") == ">", F.col("value") > F.col("cut")).otherwise(F.col("value") <= F.col("cut"))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return j.groupBy("factor", "op", "cut").agg(n(inside).alias("n_in"), n(inside & F.col("broken")).alias("b_in"), n(~inside).alias("n_out"), n(~inside & F.col("broken")).alias("b_out"))
+    total = lambda c, of: F.sum(F.when(c, F.col(of)).otherwise(0)).cast("long")
+    return j.groupBy("factor", "op", "cut").agg(total(inside, "n").alias("n_in"), total(inside, "b").alias("b_in"), total(~inside, "n").alias("n_out"), total(~inside, "b").alias("b_out"))
 
 
-def with_magnitudes(long: DataFrame) -> DataFrame:
-    """The factors, and abs_<factor> of each one whose values lie on both sides of zero; factors with missing values go."""
-    facts = long.groupBy("factor").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.bool_or(F.col("value").isNull() | F.isnan("value")).alias("holes"))
-    whole = long.join(F.broadcast(facts.where("not holes")), "factor")
-    both = whole.where("lo < 0 and hi > 0").select("scenario_hash", F.concat(F.lit("abs_"), "factor").alias("factor"), F.abs("value").alias("value"), "broken")
-    return whole.select("scenario_hash", "factor", "value", "broken").unionByName(both)
+def _kinds(counts: DataFrame) -> tuple[list[str], list[str]]:
+    """Factors without missing values, and those of them whose values lie on both sides of zero; over MOST_FACTORS factors raise."""
+    facts = counts.groupBy("factor").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.bool_or(F.col("value").isNull() | F.isnan("value")).alias("holes"))
+    rows = facts.limit(MOST_FACTORS + 1).collect()
+    if len(rows) > MOST_FACTORS:
+        raise ValueError(f"more than {MOST_FACTORS} factors")
+    whole = [r for r in rows if not r.holes and r.factor is not None]
+    return sorted(r.factor for r in whole), sorted(r.factor for r in whole if r.lo < 0 < r.hi)
 
 
-def cut_rules(long: DataFrame, low: float, high: float, n: int) -> DataFrame:
+def with_magnitudes(counts: DataFrame, kinds: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """Value counts of the factors, and of abs_<factor> of each one whose values lie on both sides of zero; factors with missing values go."""
+    whole, signed = kinds or _kinds(counts)
+    own = counts.where(F.col("factor").isin(whole))
+    both = own.where(F.col("factor").isin(signed)).select(F.concat(F.lit("abs_"), "factor").alias("factor"), F.abs("value").alias("value"), "n", "b")
+    return own.unionByName(both).groupBy("factor", "value").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+
+
+def quantiles(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """(factor, share, cut): exact quantiles, interpolated between neighbours, of value counts.
+
+    A sketch splits each factor's values into at most STRIPES ranges; running
+    counts are taken within the ranges, so no task orders all values of a factor.
+    """
+    edges = counts.groupBy("factor").agg(F.sum("n").alias("total"), F.percentile_approx("value", [k / STRIPES for k in range(1, STRIPES)], STRIPES).alias("edges"))
+    striped = counts.join(edges, "factor").select("factor", "value", "n", "total", F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("stripe"))
+    before = Window.partitionBy("factor").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
+    sums = striped.groupBy("factor", "stripe").agg(F.sum("n").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))).drop("own")
+    upto = Window.partitionBy("factor", "stripe").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = striped.join(sums, ["factor", "stripe"]).withColumn("end", F.col("before") + F.sum("n").over(upto))
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    at = lambda s: s * (F.col("total") - 1)
+    # a value stands at the ranks [end - n, end); it takes part in a quantile that lies between two ranks by its share of the way
+    holds = lambda rank: (rank >= F.col("end") - F.col("n")) & (rank < F.col("end"))
+    parts = ranked.select("factor", "value", "total", "end", "n", F.explode(wanted).alias("share")).withColumn("at", at(F.col("share")))
+    low, high = holds(F.floor("at")), holds(F.ceil("at"))
+    weight = F.when(low & high, 1.0).when(low, F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    return parts.where(low | high).groupBy("factor", "share").agg(F.sum(weight * F.col("value")).alias("cut"))
+
+
+def cut_rules(counts: DataFrame, low: float, high: float, n: int) -> DataFrame:
     """(factor, op, cut) at n even quantiles of each factor, in both directions."""
-    shares = [low + (high - low) * k / (n - 1) for k in range(n)]
-    cuts = long.groupBy("factor").agg(F.percentile("value", shares).alias("q")).select("factor", F.explode(F.array_distinct("q")).alias("cut"))
-    return cuts.withColumn("op", F.explode(F.array(F.lit(">"), F.lit("<="))))
+    cuts = quantiles(counts, [low + (high - low) * k / (n - 1) for k in range(n)])
+    return cuts.select("factor", "cut").distinct().withColumn("op", F.explode(F.array(F.lit(">"), F.lit("<="))))
 
 
 def enriched(supports: DataFrame, least: int, alpha: float) -> DataFrame:
@@ -126,40 +168,67 @@ def enriched(supports: DataFrame, least: int, alpha: float) -> DataFrame:
     return tested.where((F.col("p_value") <= alpha) & (inside > outside)).withColumn("lift", lift)
 
 
-def single_hotspots(long: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """The best rule of each factor: (factor, op, cut, n_in, b_in, n_out, b_out, p_value, lift)."""
-    own = with_magnitudes(long)
+def _best_of_factor(own: DataFrame, alpha: float) -> DataFrame:
     found = enriched(rule_supports(own, cut_rules(own, 0.1, 0.9, 9)), LEAST_SINGLE, alpha)
     best = Window.partitionBy("factor").orderBy(F.desc("lift"), F.desc("n_in"), "cut", F.desc("op"))
     return found.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
-def hotspots(long: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Regions where failures concentrate: single rules and, seeded by the three best, conjunctions of two; at most five, best first."""
-    own = with_magnitudes(long)
-    singles = single_hotspots(long, alpha)
-    first = singles.orderBy(F.desc("lift"), F.desc("n_in"), "factor").limit(3).select(F.col("factor").alias("f1"), F.col("op").alias("o1"), F.col("cut").alias("c1"), F.col("lift").alias("l1"))
-    member = own.select("scenario_hash", F.col("factor").alias("f1"), F.col("value").alias("v1")).join(F.broadcast(first), "f1")
-    member = member.where(F.when(F.col("o1") == ">", F.col("v1") > F.col("c1")).otherwise(F.col("v1") <= F.col("c1"))).select("scenario_hash", "f1", "o1", "c1", "l1")
-    within = own.join(member, "scenario_hash").where(F.col("factor") != F.col("f1"))
-    inside = within.join(F.broadcast(cut_rules(own, 0.2, 0.8, 7)), "factor")
-    inside = inside.where(F.when(F.col("op") == ">", F.col("value") > F.col("cut")).otherwise(F.col("value") <= F.col("cut")))
-    total = own.select("scenario_hash", "broken").distinct().agg(F.count("*").alias("n"), F.sum(F.col("broken").cast("long")).alias("b"))
-    pairs = inside.groupBy("f1", "o1", "c1", "l1", "factor", "op", "cut").agg(F.count("*").alias("n_in"), F.sum(F.col("broken").cast("long")).alias("b_in")).join(F.broadcast(total), F.lit(True))
-    pairs = pairs.withColumn("n_out", F.col("n") - F.col("n_in")).withColumn("b_out", F.col("b") - F.col("b_in"))
-    pairs = enriched(pairs, LEAST_PAIR, alpha).where(F.col("lift") > F.col("l1") * LIFT)
-    cond = lambda f, o, c: F.concat_ws(" ", f, o, F.format_number(c, 6))
+def single_hotspots(scenarios: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The best rule of each factor: (factor, op, cut, n_in, b_in, n_out, b_out, p_value, lift)."""
+    return _best_of_factor(settled(with_magnitudes(settled(value_counts(scenarios)))), alpha)
+
+
+def _condition(factor: Column, op: Column, cut: Column) -> Column:
+    return F.concat_ws(" ", factor, op, F.format_number(cut, 6))
+
+
+def hotspots(scenarios: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Regions where failures concentrate: single rules and, seeded by the three best, conjunctions of two; at most five, best first.
+
+    scenarios has a row each with broken and its map of factors (`gathered` makes
+    one of long rows).  They are read twice, for the counts at each distinct value
+    of all and of those within the three best rules; only such counts are shuffled.
+    """
+    plain = settled(value_counts(scenarios))
+    kinds = _kinds(plain)
+    own = settled(with_magnitudes(plain, kinds))
+    singles = settled(_best_of_factor(own, alpha))
     columns = ["n_in", "b_in", "n_out", "b_out", "p_value", "lift"]
-    one = singles.select(F.array("factor").alias("factors"), cond("factor", "op", "cut").alias("rule"), *columns)
-    two = pairs.select(F.array_sort(F.array("f1", "factor")).alias("factors"), F.concat_ws(" and ", cond("f1", "o1", "c1"), cond("factor", "op", "cut")).alias("rule"), *columns)
+    found = singles.select(F.array("factor").alias("factors"), _condition(F.col("factor"), F.col("op"), F.col("cut")).alias("rule"), *columns)
+    first = singles.orderBy(F.desc("lift"), F.desc("n_in"), "factor").limit(3).collect()
+    if first:
+        found = found.unionByName(settled(_conjunctions(scenarios, own, kinds, first, alpha).select("factors", "rule", *columns)))
     order = [F.desc("lift"), F.desc("n_in"), "rule"]
-    best = one.unionByName(two).withColumn("k", F.row_number().over(Window.partitionBy("factors").orderBy(*order))).where("k = 1").drop("k")
+    best = found.withColumn("k", F.row_number().over(Window.partitionBy("factors").orderBy(*order))).where("k = 1").drop("k")
     # a conjunction goes where a rule of one of its factors ranks above it
     single = best.where(F.size("factors") == 1).select(F.col("factors")[0].alias("sf"), F.col("lift").alias("sl"))
-    worse = best.where(F.size("factors") == 2).join(F.broadcast(single), F.array_contains("factors", F.col("sf"))).where(F.col("sl") >= F.col("lift")).select("factors")
+    worse = best.where(F.size("factors") == 2).select("factors", "lift", F.explode("factors").alias("sf")).join(single, "sf").where(F.col("sl") >= F.col("lift")).select("factors")
     return best.join(worse, "factors", "left_anti").orderBy(*order).limit(MOST_RULES)
 
 
+def _conjunctions(scenarios: DataFrame, own: DataFrame, kinds: tuple[list[str], list[str]], first: list, alpha: float) -> DataFrame:
+    """factors, rule and the support of each of the first rules with a second one of another factor."""
+    whole, signed = kinds
+    plain = F.map_filter("factors", lambda k, v: k.isin(whole))
+    sized = F.map_filter("factors", lambda k, v: k.isin(signed))
+    rows = scenarios.select("broken", F.concat(F.map_entries(plain), F.transform(F.map_entries(sized), lambda e: F.struct(F.concat(F.lit("abs_"), e["key"]).alias("key"), F.abs(e["value"]).alias("value")))).alias("e"))
+    inside = lambda r: F.exists("e", lambda e: (e["key"] == r.factor) & (e["value"] > r.cut if r.op == ">" else e["value"] <= r.cut))
+    of = F.array_compact(F.array(*[F.when(inside(r), F.lit(k)) for k, r in enumerate(first)]))
+    members = rows.select("broken", "e", F.explode(of).alias("first")).select("first", "broken", F.explode("e").alias("e")).select("first", "broken", F.col("e.key").alias("factor"), "e.value")
+    counts = members.groupBy("first", "factor", "value").agg(F.count("*").alias("n"), F.sum(F.col("broken").cast("long")).alias("b"))
+    rules = cut_rules(own, 0.2, 0.8, 7)
+    held = counts.join(rules, "factor").where(F.when(F.col("op") == ">", F.col("value") > F.col("cut")).otherwise(F.col("value") <= F.col("cut")))
+    got = held.groupBy("first", "factor", "op", "cut").agg(F.sum("n").alias("n_in"), F.sum("b").alias("b_in"))
+    number = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("first") + 1)
+    total = scenarios.agg(F.count("*"), F.sum(F.col("broken").cast("long"))).first()
+    got = got.withColumns({"f1": number(*[r.factor for r in first]), "o1": number(*[r.op for r in first]), "c1": number(*[r.cut for r in first]), "l1": number(*[r.lift for r in first])})
+    got = got.where(F.col("factor") != F.col("f1")).withColumns({"n_out": total[0] - F.col("n_in"), "b_out": total[1] - F.col("b_in")})
+    got = enriched(got, LEAST_PAIR, alpha).where(F.col("lift") > F.col("l1") * LIFT)
+    rule = F.concat_ws(" and ", _condition(F.col("f1"), F.col("o1"), F.col("c1")), _condition(F.col("factor"), F.col("op"), F.col("cut")))
+    return got.withColumns({"factors": F.array_sort(F.array("f1", "factor")), "rule": rule})
+
+
 def shard_of(index: str, shards: int) -> Column:
     return F.pmod(F.col(index), F.lit(shards)).cast("int")
 

@@ -670,7 +670,7 @@ _SUPPORT = f"""{V.FACTORS}, q AS (SELECT factor, unnest(list_distinct(quantile_c
 
 @query(f"WITH {_SUPPORT} SELECT factor, op, {r('cut', 'cut')}, n_in, b_in, n_out, b_out FROM sup")
 def rule_supports(spark, d):
-    own = scenarios.with_magnitudes(V.factors(spark, d))
+    own = scenarios.with_magnitudes(scenarios.value_counts(V.factors(spark, d)))
     return rounded(scenarios.rule_supports(own, scenarios.cut_rules(own, 0.1, 0.9, 9)))
 
 
@@ -791,7 +791,7 @@ def frame_subsample(spark, d):
 
 @query("SELECT event_type, count(*) AS n, sum(first_bytes)::BIGINT AS checks FROM (SELECT event_type, ('0x' || substr(sha1(cast(event_id AS VARCHAR)), 1, 8))::BIGINT AS first_bytes FROM events) GROUP BY event_type")
 def stable_units(spark, d):
-    e = V.table(spark, d, "events").select("event_type", F.floor(X.unit_float(F.col("event_id").cast("string")) * 4294967296.0).cast("long").alias("b"))
+    e = V.table(spark, d, "events").select("event_type", X.leading_bits(F.col("event_id").cast("string")).alias("b"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("b").alias("checks"))
 
 

@@ -144,12 +144,12 @@ RUN_A, RUN_B, RUN_A2 = _run_sql("a"), _run_sql("b"), _run_sql("a2")
 
 
 def factors(spark, d) -> DataFrame:
-    """(scenario_hash, factor, value, broken) of the parts: size, and price about its middle."""
+    """(scenario_hash, broken, factors) of the parts: size, and price about its middle."""
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     k = F.col("p_partkey")
     broken = ((F.col("p_size") > 35) & (k % 2 == 0)) | (k % 19 == 0)
-    entries = F.array(F.struct(F.lit("size").alias("factor"), F.col("p_size").cast("double").alias("value")), F.struct(F.lit("price").alias("factor"), (F.col("p_retailprice") - 950).alias("value")))
-    return p.select(F.sha2(k.cast("string").cast("binary"), 256).alias("scenario_hash"), broken.alias("broken"), F.explode(entries).alias("e")).select("scenario_hash", "e.factor", "e.value", "broken")
+    entries = F.create_map(F.lit("size"), F.col("p_size").cast("double"), F.lit("price"), F.col("p_retailprice") - 950)
+    return p.select(F.sha2(k.cast("string").cast("binary"), 256).alias("scenario_hash"), broken.alias("broken"), entries.alias("factors"))
 
 
 FACTORS = """long AS (SELECT sha256(cast(p_partkey AS VARCHAR)) AS scenario_hash, factor, CASE factor WHEN 'size' THEN p_size::DOUBLE WHEN 'price' THEN p_retailprice - 950 WHEN 'abs_price' THEN abs(p_retailprice - 950) END AS value,

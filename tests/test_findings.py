@@ -19,7 +19,7 @@ def test_quantiles_equal_linear_interpolation(spark, monkeypatch):
     values = {"a": rng.normal(size=301), "b": rng.integers(0, 5, 200).astype(float), "c": np.array([4.0])}
     long = spark.createDataFrame([(str(i), f, float(v), False) for f, vs in values.items() for i, v in enumerate(vs)], "scenario_hash string, factor string, value double, broken boolean")
     shares = [0.1, 0.25, 0.5, 0.9]
-    got = {(r.factor, r.share): r.cut for r in scenarios.quantiles(scenarios.value_counts(long), shares).collect()}
+    got = {(r.factor, r.share): r.cut for r in scenarios.quantiles(scenarios.value_counts(scenarios.gathered(long)), shares).collect()}
     assert len(got) == 12
     for f, vs in values.items():
         for s in shares:
@@ -32,7 +32,7 @@ def test_conjunctions_equal_brute_force(spark):
     x = {"u": rng.random(n), "v": rng.uniform(-1, 1, n), "w": rng.integers(0, 9, n).astype(float)}
     bad = (x["u"] < 0.4) & (np.abs(x["v"]) > 0.5) & (rng.random(n) < 0.9) | (rng.random(n) < 0.05)
     long = spark.createDataFrame([(f"h{i}", f, float(v[i]), bool(bad[i])) for f, v in x.items() for i in range(n)] + [(f"h{i}", "hole", None, bool(bad[i])) for i in range(n)], "scenario_hash string, factor string, value double, broken boolean")
-    top = scenarios.hotspots(long.repartition(5)).collect()
+    top = scenarios.hotspots(scenarios.gathered(long.repartition(5))).collect()
     x["abs_v"] = np.abs(x["v"])
     assert set(top[0].factors) == {"u", "abs_v"}
     for r in top:
@@ -46,5 +46,5 @@ def test_conjunctions_equal_brute_force(spark):
 
 def test_hotspots_without_scenarios(spark):
     empty = spark.createDataFrame([], "scenario_hash string, factor string, value double, broken boolean")
-    assert scenarios.hotspots(empty).count() == 0 and scenarios.single_hotspots(empty).count() == 0
-    assert scenarios.quantiles(scenarios.value_counts(empty), [0.5]).where(F.col("cut").isNotNull()).count() == 0
+    assert scenarios.hotspots(scenarios.gathered(empty)).count() == 0 and scenarios.single_hotspots(scenarios.gathered(empty)).count() == 0
+    assert scenarios.quantiles(scenarios.value_counts(scenarios.gathered(empty)), [0.5]).where(F.col("cut").isNotNull()).count() == 0

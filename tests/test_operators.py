@@ -331,11 +331,11 @@ def test_hotspot_is_found_and_silence_kept(spark):
     fail = np.where(hit, rng.random(n) < 0.9, rng.random(n) < 0.08)
     rows = [(f"h{i}", f, float(v), bool(fail[i])) for i in range(n) for f, v in (("size", size[i]), ("yaw", yaw[i]))]
     schema = "scenario_hash string, factor string, value double, broken boolean"
-    top = scenarios.hotspots(spark.createDataFrame(rows, schema)).collect()
+    top = scenarios.hotspots(scenarios.gathered(spark.createDataFrame(rows, schema))).collect()
     assert set(top[0].factors) == {"size", "abs_yaw"} and top[0].lift > 2 and len(top) <= 5
     spread = [(h, f, v, bool(rng.random() < 0.2)) for h, f, v, _ in rows]
     even = {h: b for h, _, _, b in spread}
-    found = scenarios.hotspots(spark.createDataFrame([(h, f, v, even[h]) for h, f, v, _ in spread], schema), alpha=0.001)
+    found = scenarios.hotspots(scenarios.gathered(spark.createDataFrame([(h, f, v, even[h]) for h, f, v, _ in spread], schema)), alpha=0.001)
     assert found.count() <= 1
 
 
