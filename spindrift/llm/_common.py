@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,30 +11,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.storage import settled, shared_folder
+
 MISSING_ID = -(2**63)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share (spark.checkpoint.dir).
 
-    Where that setting is unset (tests, one machine) a temporary folder takes its
-    place for the life of the process.
+    On one machine without that setting a temporary folder takes its place; on a
+    cluster that raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="spindrift-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
-    scratch(df.sparkSession, "probe")
-    return df.checkpoint(eager=True)
+    return settled(df)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_type(df: DataFrame, names: list[str]) -> str:
+    """The type of a struct of these columns."""
+    types = dict(df.dtypes)
+    return "struct<" + ",".join(f"{quoted(c)}:{types[c]}" for c in names) + ">"
 
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:

@@ -18,12 +18,17 @@ chosen to let almost all suffixes leave after the first pass:
    third digit: the half of the window's other bytes that lies on the anchor's
    heavier side.  A window with more bytes right of its anchor contains the right
    half, any other the left one, so windows that differ in it leave.
-4. What shares all three digits is ordered by its full `threshold` bytes (as
-   96-bit hashes), group by group; a group too large for one task is dealt out
-   again by single windows.
-
-Each map task first settles equal runs among its own rows, so a passage shared
-by a third of all documents costs a row per task, not per copy.
+4. What shares all three digits is ordered by its own bytes: passes of eight
+   bytes, most significant first, that drop every window alone in its group, until
+   `threshold` bytes are ordered; the groups then left are exactly the equal
+   windows.  More than LIMIT rows of one digit are dealt out again by single windows.
+
+The first two digits are independent 64-bit hashes of the strings they stand
+for, together with which equal runs are told; digits that decide between
+different runs are bytes.  A document is known by its id and a 64-bit hash of its
+text, so different texts under one id, or without one, stay apart.  Each map task
+first settles equal runs among its own rows, so a passage shared by a third of
+all documents costs a row per task, not per copy.
 """
 
 from __future__ import annotations
@@ -38,27 +43,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import RollingHash, batch, bounded_batches, mix, order_id, releasing, slabs, utf8, utf8_bytes, written
+from spindrift.llm._common import RollingHash, batch, bounded_batches, mix, order_id, quoted, releasing, row_type, slabs, utf8, utf8_bytes, written
 
 DIGIT = 32
 SEGMENT = 2 << 20
 POSITION_BITS = np.uint64(24)
 FLUSH = 300_000
-#: `place` holds 32 bits of the first start, 12 of the text's hash, 20 of the number of starts; of a run,
+#: `tag` is the text's hash; `place` holds the first start and, in 20 bits, the number of starts; of a run,
 #: these last are 7 bits of its anchor's distance from the first start and 7 of the number of starts.
-RUN = pa.schema([("anchor", pa.int32()), ("covers", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("known", pa.int8())])
-RUN_DDL = "anchor int, covers long, id long, place long, known byte"
+RUN = pa.schema([("anchor", pa.int64()), ("covers", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("place", pa.int64()), ("known", pa.int8())])
+RUN_DDL = "anchor long, covers long, id long, tag long, place long, known byte"
 MOST = (1 << 20) - 1
-#: Rows of one half-window digit that a task takes at once, and the most digits above that number.
-LIMIT, MOST_HOT = 10_000, 100_000
+#: Rows of one half-window digit that a task takes at once.
+LIMIT = 10_000
 
 
-def _place(start, tag, count):
-    return (start.astype(np.int64) << 32) | (tag.astype(np.int64) << 20) | count.astype(np.int64)
+def _place(start, count):
+    return (start.astype(np.int64) << 20) | count.astype(np.int64)
 
 
 def _unplace(place):
-    return (place >> 32) & 0xFFFFFFFF, (place >> 20) & 0xFFF, place & MOST
+    return place >> 20, place & MOST
 
 
 def _segments(data, offsets, threshold):
@@ -104,7 +109,7 @@ def _runs(data, offsets, threshold, digit, first: RollingHash, second: RollingHa
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(at)) - 1
         covers = mix(second.between(second.prefix(part), at[lo], at[hi] + threshold))
-        yield grams[anchor[lo]].astype(np.uint32).view(np.int32), covers.view(np.int64), row[at[lo]], at[lo] - starts[at[lo]], ((anchor[lo] - at[lo]) << 7) | (at[hi] - at[lo] + 1)
+        yield grams[anchor[lo]].view(np.int64), covers.view(np.int64), row[at[lo]], at[lo] - starts[at[lo]], ((anchor[lo] - at[lo]) << 7) | (at[hi] - at[lo] + 1)
 
 
 def _settled(anchor, covers, id_, start, tag, count):
@@ -119,20 +124,24 @@ def _settled(anchor, covers, id_, start, tag, count):
         first = np.maximum.accumulate(np.where(~later, np.arange(len(a)), 0))
         later &= ~((i == i[first]) & (s == s[first]) & (t == t[first]))
     keep = ~later & ~same
-    yield a[keep], c[keep], i[keep], _place(s[keep], t[keep], n[keep]), np.zeros(keep.sum(), np.int8)
+    yield a[keep], c[keep], i[keep], t[keep], _place(s[keep], n[keep]), np.zeros(keep.sum(), np.int8)
     if later.any():
-        i, s, t, n = i[later], s[later], t[later], n[later] & 127
-        order = np.lexsort((s, t, i))
-        i, s, t, e = i[order], s[order], t[order], (s + n)[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (s[1:] > e[:-1])
-        lo = np.flatnonzero(new)
-        s, n, i, t = s[lo], np.maximum.reduceat(e, lo) - s[lo], i[lo], t[lo]
-        parts = -(-n // MOST)
-        if (parts > 1).any():
-            k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            s, n, i, t = np.repeat(s, parts) + k * MOST, np.minimum(np.repeat(n, parts) - k * MOST, MOST), np.repeat(i, parts), np.repeat(t, parts)
-        yield mix(i.view(np.uint64) + s.astype(np.uint64)).astype(np.uint32).view(np.int32), np.zeros(len(i), np.int64), i, _place(s, t, n), np.ones(len(i), np.int8)
+        yield _known(i[later], t[later], s[later], n[later] & 127)
+
+
+def _known(i, t, s, n):
+    """Rows of starts that are repeats, joined where they touch; their first digit only spreads them."""
+    order = np.lexsort((s, t, i))
+    i, s, t, e = i[order], s[order], t[order], (s + n)[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (s[1:] > e[:-1])
+    lo = np.flatnonzero(new)
+    s, n, i, t = s[lo], np.maximum.reduceat(e, lo) - s[lo], i[lo], t[lo]
+    parts = -(-n // MOST)
+    if (parts > 1).any():
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        s, n, i, t = np.repeat(s, parts) + k * MOST, np.minimum(np.repeat(n, parts) - k * MOST, MOST), np.repeat(i, parts), np.repeat(t, parts)
+    return mix(t.view(np.uint64) + s.astype(np.uint64)).view(np.int64), np.zeros(len(i), np.int64), i, t, _place(s, n), np.ones(len(i), np.int8)
 
 
 def _map_runs(threshold: int, digit: int):
@@ -149,7 +158,7 @@ def _map_runs(threshold: int, digit: int):
             ids, tags = b["id"].to_numpy(), b["tag"].to_numpy()
             data, offsets = utf8(b["text"])
             for anchor, covers, row, start, count in _runs(data, offsets, threshold, digit, first, second):
-                held.append((anchor, covers, ids[row], start, tags[row].astype(np.int64), count))
+                held.append((anchor, covers, ids[row], start, tags[row], count))
                 size += len(row)
                 if size >= FLUSH:
                     yield from flush()
@@ -161,9 +170,9 @@ def _map_runs(threshold: int, digit: int):
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, covers, id, place): repeats (known 1), and the first of each class where an anchor has several (known 0)."""
-    prev = None  # last row of the batch before: anchor, covers, id, place
-    first = None  # place of the class's first row
+    """Of rows sorted by (anchor, covers, id, tag, place): repeats (known 1), and the first of each class where an anchor has several (known 0)."""
+    prev = None  # last row of the batch before: anchor, covers
+    first = None  # id, tag and place of the class's first row
     lead = None  # the anchor's first class, as long as it is its only one
     for b in batches:
         known = b["known"].to_numpy()
@@ -173,7 +182,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = b.filter(pa.array(known == 0))
         if not b.num_rows:
             continue
-        a, c, i, p = (b[k].to_numpy() for k in ("anchor", "covers", "id", "place"))
+        a, c, *own = (b[k].to_numpy() for k in ("anchor", "covers", "id", "tag", "place"))
         n = len(a)
         new_anchor, new_class = np.ones(n, bool), np.ones(n, bool)
         new_anchor[1:] = a[1:] != a[:-1]
@@ -182,11 +191,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_anchor[0] = False
             new_class[0] = prev[1] != c[0]
         at = np.maximum.accumulate(np.where(new_class, np.arange(n), -1))
-        first_i = np.where(at >= 0, i[at], first[0] if first else 0)
-        first_p = np.where(at >= 0, p[at], first[1] if first else 0)
-        again = ~new_class & ~((i == first_i) & (p == first_p))
+        of = [np.where(at >= 0, x[at], first[k] if first else 0) for k, x in enumerate(own)]
+        again = ~new_class & np.any([x != y for x, y in zip(own, of, strict=True)], axis=0)
         if again.any():
-            yield batch(RUN, a[again], c[again], i[again], p[again] & ~MOST | p[again] & 127, np.ones(again.sum(), np.int8))
+            i, t, p = (x[again] for x in own)
+            yield batch(RUN, a[again], c[again], i, t, p & ~MOST | p & 127, np.ones(len(i), np.int8))
         heads = np.flatnonzero(new_class)
         if len(heads):
             group = np.cumsum(new_anchor)[heads]  # 0: the anchor that the batch before ended with
@@ -202,19 +211,19 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead = None
             if several.any():
                 h = heads[several]
-                yield batch(RUN, a[h], c[h], i[h], p[h], np.zeros(len(h), np.int8))
+                yield batch(RUN, a[h], c[h], *(x[h] for x in own), np.zeros(len(h), np.int8))
             if group[-1] != 0 or new_anchor.any():
                 last = heads[-1]
                 if starts[-1] and not several[-1]:
-                    lead = (a[last], c[last], i[last], p[last])
+                    lead = (a[last], c[last], *(x[last] for x in own))
                 elif new_anchor.any():
                     lead = None
-        prev, first = (a[-1], c[-1]), (first_i[-1], first_p[-1])
+        prev, first = (a[-1], c[-1]), [x[-1] for x in of]
 
 
-CONTEXT = pa.schema([("half", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
-CONTEXT_DDL = "half long, id long, place long, bytes binary"
-PACKED = pa.schema([("id", pa.int64()), ("tag", pa.int16()), ("packed", pa.binary())])
+CONTEXT = pa.schema([("half", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+CONTEXT_DDL = "half long, id long, tag long, place long, bytes binary"
+PACKED = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("packed", pa.binary())])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +241,11 @@ def _map_contexts(threshold: int, digit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, press = RollingHash(21), zstandard.ZstdDecompressor()
         for b in batches:
-            ids, packed, places = b["id"].to_numpy(), b["packed"], b["places"]
+            ids, tags, packed, places = b["id"].to_numpy(), b["tag"].to_numpy(), b["packed"], b["places"]
             bounds, flat = places.offsets.to_numpy(), places.values.to_numpy()
             for r in range(b.num_rows):
                 text = press.decompress(packed[r].as_py())
-                start, tag, n = _unplace(flat[bounds[r] : bounds[r + 1]])
+                start, n = _unplace(flat[bounds[r] : bounds[r + 1]])
                 anchor, last = start + (n >> 7), start + (n & 127) - 1
                 whole = np.frombuffer(text, np.uint8)
                 out = []
@@ -251,10 +260,10 @@ def _map_contexts(threshold: int, digit: int):
                     base = int(a.min())
                     part = whole[base : int(e.max())]
                     half = _hash_parts(first, part, a - base, e - base) ^ np.uint64(salt)
-                    out.append((half.view(np.int64), _place(lo, tag[got], hi - lo + 1), [text[x:y] for x, y in zip(lo.tolist(), (hi + threshold).tolist(), strict=True)]))
+                    out.append((half.view(np.int64), _place(lo, hi - lo + 1), [text[x:y] for x, y in zip(lo.tolist(), (hi + threshold).tolist(), strict=True)]))
                 if out:
                     half, place, held = (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), sum((x[2] for x in out), []))
-                    yield batch(CONTEXT, half, np.full(len(half), ids[r]), place, held)
+                    yield batch(CONTEXT, half, np.full(len(half), ids[r]), np.full(len(half), tags[r]), place, held)
 
     return run
 
@@ -274,16 +283,38 @@ def _hash_parts(h: RollingHash, data, start, end):
     return out
 
 
-def _windows(held, threshold, first, second):
+def _windows(held):
+    """The contexts' bytes end to end, and of each window where it is there, its id, tag and start."""
     b = pa.Table.from_batches(held).combine_chunks()
     data, offsets = utf8_bytes(b["bytes"])
-    start, tag, n = _unplace(b["place"].to_numpy())
-    ids = b["id"].to_numpy()
+    start, n = _unplace(b["place"].to_numpy())
     row = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = offsets[row] + k
-    h1, h2 = (mix(h.between(h.prefix(data), at, at + threshold)) for h in (first, second))
-    return h1.astype(np.uint32).view(np.int32), h2.view(np.int64), ids[row], start[row] + k, tag[row], np.ones(len(row), np.int64)
+    return data, offsets[row] + k, b["id"].to_numpy()[row], b["tag"].to_numpy()[row], start[row] + k
+
+
+def radix_groups(data: np.ndarray, at: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, group) of those of the `threshold`-byte windows of data at `at` that have an equal one, in the windows' order.
+
+    Passes of eight bytes, most significant first; after each one the windows
+    that are alone in their group leave.
+    """
+    alive, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for depth in range(0, threshold, 8):
+        digit = np.zeros((len(alive), 8), np.uint8)
+        width = min(8, threshold - depth)
+        digit[:, :width] = data[at[alive][:, None] + np.arange(depth, depth + width)]
+        digit = digit.view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((digit, group))
+        digit, group = digit[order], group[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        several = ~new
+        several[:-1] |= ~new[1:]
+        alive, group = alive[order][several], (np.cumsum(new) - 1)[several]
+        if not len(alive):
+            break
+    return alive, group
 
 
 def _map_windows(threshold: int):
@@ -293,7 +324,9 @@ def _map_windows(threshold: int):
         first, second = RollingHash(21), RollingHash(22)
         for b in batches:
             for k in range(0, b.num_rows, 2048):
-                for cols in _settled(*_windows([b.slice(k, 2048)], threshold, first, second)):
+                data, at, ids, tags, start = _windows([b.slice(k, 2048)])
+                h1, h2 = (mix(h.between(h.prefix(data), at, at + threshold)).view(np.int64) for h in (first, second))
+                for cols in _settled(h1, h2, ids, start, tags, np.ones(len(at), np.int64)):
                     yield batch(RUN, *cols)
 
     return run
@@ -302,14 +335,20 @@ def _map_windows(threshold: int):
 def _resolve(threshold: int):
     """Over contexts sorted by half: the windows that also start earlier."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = RollingHash(21), RollingHash(22)
-
-        def done(held):
-            for cols in _settled(*_windows(held, threshold, first, second)):
-                if len(cols[0]) and cols[4][0]:
-                    yield batch(RUN, *cols)
+    def done(held):
+        data, at, ids, tags, start = _windows(held)
+        alive, group = radix_groups(data, at, threshold)
+        if not len(alive):
+            return
+        i, t, s = ids[alive], tags[alive], start[alive]
+        order = np.lexsort((s, t, i, group))
+        i, t, s, group = i[order], t[order], s[order], group[order]
+        first = np.searchsorted(group, group)
+        later = (i != i[first]) | (t != t[first]) | (s != s[first])
+        if later.any():
+            yield batch(RUN, *_known(i[later], t[later], s[later], np.ones(later.sum(), np.int64)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, last = [], 0, None
         for b in batches:
             half = b["half"].to_numpy()
@@ -335,7 +374,7 @@ def _resolve(threshold: int):
 def repeated_starts(docs: DataFrame, threshold: int = 100, digit: int = DIGIT) -> DataFrame:
     """(id, tag, start, count): the `count` starts from `start` on whose `threshold`-byte strings also start earlier.
 
-    docs has id (long), tag (12 bits that tell texts of one id apart) and text.
+    docs has id (long), tag (a hash of the text, which tells texts of one id apart) and text.
     """
     digit = min(digit, max(1, threshold // 3))
     if not 0 <= threshold - digit < 127:
@@ -343,40 +382,49 @@ def repeated_starts(docs: DataFrame, threshold: int = 100, digit: int = DIGIT) -
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def settled(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "covers", "id", "place").mapInArrow(releasing(_sorted_runs), RUN_DDL)
+        return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "covers", "id", "tag", "place").mapInArrow(releasing(_sorted_runs), RUN_DDL)
 
     found = written(settled(docs.mapInArrow(releasing(_map_runs(threshold, digit)), RUN_DDL)), "runs")
-    tag = F.expr("cast(shiftright(place, 20) & 4095 as short)").alias("tag")
-    open_ = found.where("known = 0").groupBy("id", tag).agg(F.collect_list("place").alias("places"))
-    packed = docs.mapInArrow(releasing(_pack), "id long, tag short, packed binary")
-    contexts = packed.join(open_, ["id", "tag"]).select("id", "packed", "places").mapInArrow(releasing(_map_contexts(threshold, digit)), CONTEXT_DDL)
+    open_ = found.where("known = 0").groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
+    packed = docs.mapInArrow(releasing(_pack), "id long, tag long, packed binary")
+    contexts = packed.join(open_, ["id", "tag"]).select("id", "tag", "packed", "places").mapInArrow(releasing(_map_contexts(threshold, digit)), CONTEXT_DDL)
     contexts = written(contexts, "contexts")
-    limit = max(LIMIT, contexts.count() // MOST_HOT)
-    hot = [r.half for r in contexts.groupBy("half").count().where(F.col("count") > limit).select("half").collect()]
-    large = F.col("half").isin(hot) if hot else F.lit(False)
-    again = contexts.where(~large).repartition(n, "half").sortWithinPartitions("half").mapInArrow(releasing(_resolve(threshold)), RUN_DDL)
-    parts = [found.where("known = 1"), again]
-    if hot:
-        parts.append(settled(contexts.where(large).mapInArrow(releasing(_map_windows(threshold)), RUN_DDL)).where("known = 1"))
-    return reduce(DataFrame.unionByName, parts).select("id", tag, F.expr("cast(shiftright(place, 32) as int)").alias("start"), F.expr("cast(place & 1048575 as int)").alias("count"))
-
-
-def _cut(text: bytes, starts, counts, threshold: int):
-    """The bytes left, the number of bytes removed, the number of maximal removed runs."""
-    if starts is None or not len(starts):
-        return text, 0, 0
+    # written, so that the join knows the size of the keys that are too frequent for one task
+    hot = written(contexts.groupBy("half").count().where(F.col("count") > LIMIT).select("half"), "hot")
+    parts = [found.where("known = 1")]
+    if hot.isEmpty():
+        rest = contexts
+    else:
+        rest = contexts.join(hot, "half", "left_anti")
+        parts.append(settled(contexts.join(hot, "half", "left_semi").mapInArrow(releasing(_map_windows(threshold)), RUN_DDL)).where("known = 1"))
+    parts.append(rest.repartition(n, "half").sortWithinPartitions("half").mapInArrow(releasing(_resolve(threshold)), RUN_DDL))
+    return reduce(DataFrame.unionByName, parts).select("id", "tag", F.expr("cast(shiftright(place, 20) as int)").alias("start"), F.expr("cast(place & 1048575 as int)").alias("count"))
+
+
+def _removed(starts, counts, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal removed runs."""
     order = np.argsort(starts, kind="stable")
     s, e = starts[order].astype(np.int64), np.maximum.accumulate((starts + counts)[order].astype(np.int64) + threshold - 1)
     new = np.ones(len(s), bool)
     new[1:] = s[1:] > e[:-1]
-    lo = s[new]
-    hi = np.append(e[np.flatnonzero(new)[1:] - 1], e[-1])
+    return s[new], np.append(e[np.flatnonzero(new)[1:] - 1], e[-1:])
+
+
+def _without(text: bytes, lo, hi) -> bytes:
     kept, at = [], 0
-    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+    for x, y in zip(lo, hi, strict=True):
         kept.append(text[at:x])
-        at = y
+        at = max(at, y)
     kept.append(text[at:])
-    return b"".join(kept), int((hi - lo).sum()), len(lo)
+    return b"".join(kept)
+
+
+def _whole_characters(text: bytes, lo: list[int], hi: list[int]) -> str:
+    """The text without the runs, widened to the borders of the characters that they cut."""
+    inside = lambda k: k < len(text) and text[k] & 0xC0 == 0x80
+    lo = [next(k for k in range(x, -1, -1) if not inside(k)) for x in lo]
+    hi = [next(k for k in range(y, len(text) + 1) if not inside(k)) for y in hi]
+    return _without(text, lo, hi).decode()
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: str | None = "bytes") -> DataFrame:
@@ -388,18 +436,21 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     are judged on the input.  A null text counts as empty and a null id as the
     smallest; texts under `threshold` bytes are untouched.  Two rows that agree
     in id and text are one document to this order: neither is earlier, both come
-    out alike.  Of different texts under one id the lesser text hash is earlier.
-    Clashing column names do not matter: the result's five columns replace any
-    of the same name.  An empty table gives an empty table.
+    out alike.  Of different texts under one id, or without one, that of the
+    lesser 64-bit hash (as a signed number) is earlier.  A very long text is read
+    in segments.  Kept as text, a character that loses any of its bytes goes
+    whole; the four figures are those of the bytes either way.  Clashing column
+    names do not matter: the result's five columns replace any of the same name.
+    An empty table gives an empty table.
     """
     bounded_batches(docs.sparkSession)
     out = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", f"kept {'string' if keep == 'text' else 'binary'}"]
     names = [x.split()[0] for x in out]
     rest = [c for c in docs.columns if c not in (*names, text_col)]
-    key = [order_id(id_col).alias("id"), F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 4095 as short)").alias("tag"), F.col(text_col).cast("string").alias("text")]
+    text = F.col(quoted(text_col)).cast("string")
+    key = [order_id(quoted(id_col)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), text.alias("text")]
     spans = repeated_starts(docs.select(*key), threshold).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    types = dict(docs.dtypes)
-    row_ddl = "row struct<" + ",".join(f"`{c}`:{types[c]}" for c in rest) + ">"
+    row_ddl = f"row {row_type(docs, rest)}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -408,7 +459,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
             texts = pa.array([press.compress(data[offsets[r] : offsets[r + 1]].tobytes()) for r in range(b.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["tag"], texts], names=["row", "id", "tag", "packed"])
 
-    keyed = docs.select(F.struct(*rest).alias("row"), *key).mapInArrow(releasing(pack), f"{row_ddl}, id long, tag short, packed binary")
+    keyed = docs.select(F.struct(*map(quoted, rest)).alias("row"), *key).mapInArrow(releasing(pack), f"{row_ddl}, id long, tag long, packed binary")
     keyed = keyed.join(spans, ["id", "tag"], "left").select("row", "packed", "spans")
     ddl = f"{row_ddl}, " + ", ".join(out if keep else out[:-1])
 
@@ -422,8 +473,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
             for r in range(b.num_rows):
                 lo, hi = bounds[r], bounds[r + 1]
                 text = press.decompress(packed[r].as_py())
-                kept, removed, n = _cut(text, starts[lo:hi], counts[lo:hi], threshold)
-                got.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep == "text" else kept if keep else None))
+                runs = [x.tolist() for x in _removed(starts[lo:hi], counts[lo:hi], threshold)]
+                kept = _without(text, *runs)
+                got.append((len(text), len(text) - len(kept), len(runs[0]), hashlib.sha256(kept).hexdigest(), _whole_characters(text, *runs) if keep == "text" else kept if keep else None))
             cols = list(zip(*got, strict=True)) or [()] * 5
             arrays = [b["row"], *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays if keep else arrays[:-1], names=["row", *names] if keep else ["row", *names[:-1]])

@@ -23,6 +23,70 @@ def brute(rows, threshold):
     return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0))
 
 
+def in_order(spark, rows):
+    """Rows as the operator orders them: null ids first, texts of one id by their hash."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k long, t string")
+    tag = {r.k: r.h for r in df.select("k", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, tag[k]))
+    return [rows[k] for k in order]
+
+
+@pytest.mark.parametrize("ids", ["null", "repeated"])
+def test_many_texts_without_ids_of_their_own(spark, ids):
+    rnd = random.Random(31)
+    passage = "".join(rnd.choices("abcdefghij ", k=400))
+    rows = []
+    for i in range(3000):
+        text = "".join(rnd.choices("abcdefghij é", k=rnd.randint(90, 200)))
+        if i % 2:
+            at = rnd.randint(0, 250)
+            text += passage[at : at + 150]
+        rows.append((None if ids == "null" else i % 3, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
+    want = {}
+    seen = {}
+    for k, (_, text) in enumerate(in_order(spark, rows)):
+        b = text.encode()
+        mask = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if seen.setdefault(b[s : s + 100], (k, s)) != (k, s):
+                mask[s : s + 100] = b"\1" * 100
+        kept = bytes(x for x, m in zip(b, mask) if not m)
+        want[k] = (len(b), sum(mask), sum(1 for j in range(len(b)) if mask[j] and (j == 0 or not mask[j - 1])), hashlib.sha256(kept).hexdigest())
+    assert got == sorted(want.values())
+
+
+def test_radix_groups_equal_a_dictionary():
+    import numpy as np
+
+    from spindrift.llm.suffix_dedup import radix_groups
+
+    rnd = random.Random(8)
+    data = bytes(rnd.choices(b"ab", k=4000)) + b"abc" * 200
+    for threshold in (1, 7, 8, 12, 100):
+        at = np.arange(len(data) - threshold + 1)
+        alive, group = radix_groups(np.frombuffer(data, np.uint8), at, threshold)
+        found, want = {}, {}
+        for w, g in zip(alive.tolist(), group.tolist()):
+            found.setdefault(g, set()).add(w)
+        for w in at.tolist():
+            want.setdefault(data[w : w + threshold], set()).add(w)
+        assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+        assert [data[w : w + threshold] for w in alive] == sorted(data[w : w + threshold] for w in alive)
+
+
+def test_kept_text_has_whole_characters(spark):
+    tail = "é" * 80  # equal from its second byte on in both texts
+    rows = [(1, "b" + tail), (2, "cÃ" + tail + "end©")]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, `a.b` long, text string"), keep="text").collect()}
+    assert set(got[1].kept) <= set("bé")
+    assert set(got[2].kept) <= set("cÃend©é") and got[2].kept.startswith("c") and got[2].kept.endswith("end©")
+    assert got[1]["a.b"] == 1
+
+
 def corpus(seed, n=60):
     rnd = random.Random(seed)
     words = ["".join(rnd.choices("abcdeé", k=rnd.randint(1, 5))) for _ in range(300)]
