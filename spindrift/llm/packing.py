@@ -39,19 +39,38 @@ TREE = 512
 _ENCODERS: dict = {}
 
 
-def encoder(ranks_path: str | None = None):
-    """The byte-level BPE, by its ranks; gives the ids that the vocabulary's `tokenizers` file gives."""
+def encoder(ranks_path: str | None = None, tokenizer_path: str | None = None):
+    """A function from a text to its ids: those that the `tokenizers` file gives with add_special_tokens=False.
+
+    The byte-level BPE runs by its ranks, which is several times as fast; the
+    file's added tokens (`<|endoftext|>`) are found in the text first, as there, and
+    what stands between them is encoded on its own.
+    """
     import base64
+    import json
+    import re
 
     import public_tokenizers
     import tiktoken
 
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _ENCODERS:
-        with open(path, "rb") as f:
+    key = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+    if key not in _ENCODERS:
+        with open(key[0], "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        with open(key[1], encoding="utf-8") as f:
+            added = {t["content"]: t for t in json.load(f)["added_tokens"]}
+        if any(t[k] for t in added.values() for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what stands beside them")
+        plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def encode(text: str) -> list[int]:
+            if apart is None or not any(t in text for t in added):
+                return plain(text)
+            return [i for part in apart.split(text) for i in ([added[part]["id"]] if part in added else plain(part))]
+
+        _ENCODERS[key] = encode
+    return _ENCODERS[key]
 
 
 def _tokenize(ranks_path):
@@ -60,7 +79,7 @@ def _tokenize(ranks_path):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, task, served = encoder(ranks_path).encode_ordinary, TaskContext.get().partitionId(), {}
+        encode, task, served = encoder(ranks_path), TaskContext.get().partitionId(), {}
         for b in batches:
             n, before, ids = [], [], []
             for text, source in zip(b["text"], b["source"].to_pylist(), strict=True):
@@ -76,21 +95,35 @@ def _tokenize(ranks_path):
     return run
 
 
+def scaled(ids: np.ndarray, by, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids * by divided by `of`: whole parts and rests, exactly, though the products may not fit 64 bits.
+
+    A long division, over as many bits of ids at once as the other numbers leave free.
+    """
+    ids, by = np.asarray(ids).astype(np.uint64), np.asarray(by, np.uint64)
+    width = 62 - max(int(by.max(initial=0)), of).bit_length()
+    if width < 1:
+        raise ValueError("more than 2**61 ids")
+    q = r = np.zeros(np.broadcast_shapes(ids.shape, by.shape), np.uint64)
+    shift, mask, of = np.uint64(width), np.uint64((1 << width) - 1), np.uint64(of)
+    for k in reversed(range(-(-int(ids.max(initial=0)).bit_length() // width))):
+        x = (r << shift) + ((ids >> np.uint64(k * width)) & mask) * by
+        q, r = (q << shift) + x // of, x % of
+    return q.astype(np.int64), r.astype(np.int64)
+
+
 class RoundRobin:
     """Ids that each queue has served after any number of windows, of which the rare sources have `rest` ids in all."""
 
     def __init__(self, totals: list[int], length: int, rest: int = 0):
         self.totals, self.length, self.own, self.all = totals, length, sum(totals), sum(totals) + rest
-        self.kind = np.int64 if self.all < 3 * 10**9 else object  # exact products either way
 
     def served(self, windows: np.ndarray) -> np.ndarray:
-        ids = np.minimum(windows.astype(self.kind) * self.length, self.all) * self.own // self.all
-        credit = ids[:, None] * np.array(self.totals, self.kind)[None, :]
-        whole = credit // self.own
-        deficit = (credit - whole * self.own).astype(np.float64 if self.kind is object else np.int64)
-        spare = (ids - whole.sum(axis=1)).astype(np.int64)
+        ids, _ = scaled(np.minimum(windows.astype(np.int64) * self.length, self.all), self.own, self.all)
+        whole, deficit = scaled(ids[:, None], np.array(self.totals)[None, :], self.own)
+        spare = ids - whole.sum(axis=1)
         rank = np.argsort(np.argsort(-deficit, axis=1, kind="stable"), axis=1, kind="stable")
-        return whole.astype(np.int64) + (rank < spare[:, None])
+        return whole + (rank < spare[:, None])
 
 
 def routes(totals: list[int]) -> list[list[int]]:
@@ -111,29 +144,24 @@ def routes(totals: list[int]) -> list[list[int]]:
     return out
 
 
-def _kind(total: int):
-    return np.int64 if total < 3 * 10**9 else object
-
-
 def place(ids: np.ndarray, total: int, route: list[int]) -> np.ndarray:
     """Where in the root's order the source of this total has its ids of these numbers."""
     for t in route:
-        ids, whole = ids.astype(_kind(abs(t))), abs(t)
-        ids = -(-(ids + 1) * whole // total) - 1 if t > 0 else ids * whole // total
-        total = whole
-    return ids.astype(np.int64)
+        whole, rest = scaled(ids + (t > 0), abs(t), total)
+        ids, total = whole + (rest > 0) - 1 if t > 0 else whole, abs(t)
+    return ids
 
 
 def given(ids: np.ndarray, total: int, route: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Of the root's first ids: how many the source has, and how many those before it in the tree."""
     nodes, before = [total, *map(abs, route)], np.zeros(len(ids), np.int64)
     for k in range(len(route) - 1, -1, -1):
-        ids, whole = ids.astype(_kind(nodes[k + 1])), nodes[k + 1]
-        first = ids * (nodes[k] if route[k] > 0 else whole - nodes[k]) // whole
+        whole = nodes[k + 1]
+        first, _ = scaled(ids, nodes[k] if route[k] > 0 else whole - nodes[k], whole)
         if route[k] < 0:
-            before = before + first.astype(np.int64)
+            before = before + first
         ids = first if route[k] > 0 else ids - first
-    return ids.astype(np.int64), before
+    return ids, before
 
 
 def _rare_parts(docs: np.ndarray, begin: np.ndarray, n: np.ndarray, total: int, route: list[int], length: int):
