@@ -90,6 +90,11 @@ def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return hashed.dropDuplicates(["__hash"]).orderBy("__hash").limit(n).drop("__hash")
 
 
+def piece_of(text, size: int):
+    """At most `size` characters of a text, from a place in it that its hash decides, so that no part of long texts is left out."""
+    return F.substring(text, (F.pmod(F.xxhash64(text), F.greatest(F.length(text) - size + 1, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(size))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

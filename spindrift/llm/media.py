@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import bounded_batches, hash_sample, utf8
+from spindrift.llm._common import bounded_batches, hash_sample, piece_of, utf8
 
 LEAST, MEAN_BITS, MOST, RATE, LEVEL = 1024, 12, 16384, 8000, 19
 _GEAR = np.random.Generator(np.random.PCG64(51)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -82,9 +82,13 @@ SEEN = 1_000_000
 
 
 def train_dictionary(docs: DataFrame, text_col: str = "text", sample: int = 2000, size: int = 112 << 10) -> bytes:
-    """A dictionary for the chunks of docs' texts, empty if there are too few to train one."""
+    """A dictionary for the chunks of docs' texts, empty if there are too few to train one.
+
+    It learns from a piece of MOST characters, anywhere in the text, of each of
+    `sample` texts; chunks are stored whole whatever it has seen.
+    """
     text = F.col(text_col).cast("string")
-    rows = hash_sample(docs.select(text.alias("text")), ["text"], sample).where("text is not null").select(F.substring("text", 1, MOST).alias("text")).collect()
+    rows = hash_sample(docs.select(text.alias("text")), ["text"], sample).where("text is not null").select(piece_of(F.col("text"), MOST).alias("text")).collect()
     try:
         return zstandard.train_dictionary(size, [r.text.encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:

@@ -1,12 +1,14 @@
 """WARC archives with a Zstandard dictionary in a leading skippable frame, each record compressed on its own.
 
 The dictionary is trained on a bounded sample of the records to be archived
-(`sample` records, chosen by hash) and stands at the head of every archive, in a
-skippable frame of magic 0x184D2A5D, so that each file is read without the
-others.  Of records with equal payloads one is a `response` with the payload,
-the others are `revisit` records that name it.  Archives are written to a folder
-that all executors share, through a temporary name, so a task that runs again
-replaces its own file; they are read back with Spark's binary reader.
+(`sample` records, chosen by hash, each with a piece of its payload) and stands at
+the head of every archive, in a skippable frame of magic 0x184D2A5D, so that each
+file is read without the others.  Of records with equal payloads one is a
+`response` with the payload, the others are `revisit` records that name it.
+Archives are written to a folder that all executors share, through a temporary
+name and under a name of their task's attempt.  The manifest lists the archives of
+the attempts that were committed: what a lost attempt has left behind is not in it,
+and reading goes by the manifest.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import bounded_batches, checkpointed, hash_sample
+from spindrift.llm._common import bounded_batches, checkpointed, hash_sample, piece_of, quoted
 
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
-#: Bytes of compressed records after which a task starts its next archive.
-ARCHIVE = 16 << 20
+#: Bytes of compressed records after which a task starts its next archive, and characters of a payload that the dictionary learns from.
+ARCHIVE, PIECE = 16 << 20, 4096
 
 
 def record_id(page_id, digest: str) -> str:
@@ -136,6 +138,18 @@ def _write_file(folder: str, name: str, content: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
+def _read_file(folder: str, name: str) -> bytes:
+    scheme, _, path = urlsplit(folder)[:3]
+    if scheme in ("", "file"):
+        with open(f"{path}/{name}", "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}") as f:
+        return f.read()
+
+
 def _payload(html) -> bytes:
     return (html or "").encode()
 
@@ -144,14 +158,15 @@ def _archive(folder: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, dictionary = TaskContext.get().partitionId(), shared.value
+        context, dictionary = TaskContext.get(), shared.value
+        task, attempt = context.partitionId(), context.taskAttemptId()
         press = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         head = archive_head(dictionary)
         held, size, records, k, out = [head], 0, 0, 0, []
 
         def close():
             nonlocal held, size, records, k
-            name = f"part-{task:06d}-{k:04d}.warc.zst"
+            name = f"part-{task:06d}-{attempt}-{k:04d}.warc.zst"
             _write_file(folder, name, b"".join(held))
             out.append((name, records, size + len(head)))
             held, size, records, k = [head], 0, 0, k + 1
@@ -188,10 +203,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     others, and rows that share the largest page_id are all responses.  Smaller
     payloads are always responses.  A null URL is archived as about:blank, white
     space and control characters in one are percent-encoded.  An empty table
-    writes nothing.
+    writes nothing.  A payload is held whole by its task, however long; other
+    columns are left out, whatever their names.  The result is the manifest of
+    the archives, to be kept for `read_archives`.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
+    id_col, url_col, html_col = map(quoted, (id_col, url_col, html_col))
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     # the largest id and whether there is a smaller one, of every payload; pre-aggregated, whatever the number of copies
@@ -199,7 +217,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.join(last, F.col("digest") == F.col("d"), "left")
     older = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     rows = rows.select("page_id", "url", "html", "digest", F.when(older, F.col("last")).alias("refers_to"))
-    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.substring(html, 1, 1 << 16).alias("html"))
+    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), piece_of(html, PIECE).alias("html"))
     chosen = hash_sample(chosen, ["page_id", "url"], sample)
     records = [make_record(r.page_id, r.url, _payload(r.html), "A" * 32) for r in chosen.collect()]
     shared = spark.sparkContext.broadcast(train_dictionary(records, dictionary_bytes))
@@ -209,38 +227,43 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _read(with_payload: bool):
+def _read(with_payload: bool, folder: str | None = None):
     names = [x.split()[0] for x in READ.split(", ")] + ["payload"] * with_payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
 
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], t) for c, t in zip(names, types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"]:
+            for archive in b.column(0):
                 held, size = [], 0
-                for record in read_archive(content.as_py()):
+                for record in read_archive(archive.as_py() if folder is None else _read_file(folder, archive.as_py())):
                     held.append(parse_record(record))
                     size += len(record) if with_payload else 200
                     if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], t) for c, t in zip(names, types, strict=True)], names=names)
+                        yield rows(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], t) for c, t in zip(names, types, strict=True)], names=names)
+                    yield rows(held)
 
     return run
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = False, manifest: DataFrame | None = None) -> DataFrame:
     """A row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and the payload of responses).
 
-    Payloads are checked against their digests; an archive that is truncated or
-    lacks its dictionary makes the job fail.
+    With the manifest of `write_archives` exactly its archives are read; without
+    one all archives in the folder, which may hold some of lost attempts.
+    Payloads are checked against their digests; an archive that is missing,
+    truncated or lacks its dictionary makes the job fail.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(_read(with_payload), READ + ", payload binary" * with_payload)
+    ddl = READ + ", payload binary" * with_payload
+    if manifest is None:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(_read(with_payload), ddl)
+    return manifest.select("file").mapInArrow(_read(with_payload, folder), ddl)
 
 
-def archive_and_read(pages: DataFrame, folder: str, **options) -> DataFrame:
+def archive_and_read(pages: DataFrame, folder: str, with_payload: bool = False, **options) -> DataFrame:
     """Archives the pages in folder and reads the archives back."""
-    if not write_archives(pages, folder, **options).agg(F.sum("records")).first()[0]:
-        return pages.sparkSession.createDataFrame([], READ)
-    return read_archives(pages.sparkSession, folder)
+    return read_archives(pages.sparkSession, folder, with_payload, write_archives(pages, folder, **options))

@@ -67,3 +67,17 @@ def test_edges(spark, tmp_path):
     assert warc.archive_and_read(empty, str(tmp_path / "c")).count() == 0
     with pytest.raises(ValueError):
         warc.parse_record(warc.make_record(1, "u", b"abc", "A" * 32))
+
+
+def test_archives_of_lost_attempts_are_not_read(spark, tmp_path):
+    rows = rows_of(5, 60)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = f"file://{tmp_path}/d"
+    manifest = warc.write_archives(df, folder)
+    for f in glob.glob(f"{tmp_path}/d/*.warc.zst"):  # what other attempts of the same tasks would leave
+        content = open(f, "rb").read()
+        for name in (f.replace("part-", "part-9"), f.replace("-0000.warc", "-0001.warc")):
+            open(name, "wb").write(content)
+    got = warc.read_archives(spark, folder, manifest=manifest).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows, 0)
+    assert warc.read_archives(spark, folder).count() == 3 * len(rows)
