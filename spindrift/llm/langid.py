@@ -1,10 +1,11 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams.
 
 The weights are trained on the driver with follow-the-regularised-leader and
-elastic-net penalties, over a bounded sample of labelled rows (`per_language`
-rows of each of the `most_languages` most frequent languages, chosen by a hash
-of the id); a fifth of it is kept back to calibrate the probabilities by one
-temperature.  Prediction reads every whole text in Arrow batches.
+elastic-net penalties, over a bounded sample of labelled rows of every language:
+`per_language` rows of each, chosen by a hash of the id, or fewer where there are
+so many languages that this would be over `sample` rows, and of each row a piece
+of `piece` characters.  A fifth of it is kept back to calibrate the probabilities
+by one temperature.  Prediction reads every whole text in Arrow batches.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, releasing
+from spindrift.llm._common import bounded_batches, piece_of, quoted, releasing, row_type
 
 BITS = 15
 UNKNOWN = "und"
@@ -142,18 +143,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.string()))], names=["buckets", "counts", "lang"])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_languages: int = 200) -> LanguageModel | None:
-    """A model of the labelled rows (null languages and texts without a letter are left out), or None if there are none."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, sample: int = 20_000, piece: int = 4096) -> LanguageModel | None:
+    """A model of the labelled rows (null languages and texts without a letter are left out), or None if there are none.
+
+    No language is left out, so the model grows with their number (0.8 MB each
+    while it is trained).  Repeated rows may be picked as often as they stand
+    there; other columns are not read.
+    """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = {r.lang: r["count"] for r in labelled.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not counts:
+    columns = ((id_col, None, "id"), (text_col, "string", "text"), (lang_col, "string", "lang"))
+    rows = labelled.select(*[(F.col(quoted(c)).cast(kind) if kind else F.col(quoted(c))).alias(name) for c, kind, name in columns]).where("lang is not null and text rlike '\\\\p{L}'")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    found = counts.count()
+    if not found:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_language / n))])
-    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    near = rows.where(unit < share[F.col("lang")])
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
-    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("text", "lang")
+    most = max(1, min(per_language, sample // found))
+    hashed = F.xxhash64("id", "text")
+    unit = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    near = rows.join(counts, "lang").where(unit < F.lit(2.0 * most) / F.col("n")).select("lang", hashed.alias("hash"), piece_of(F.col("text"), piece).alias("text"))
+    first = Window.partitionBy("lang").orderBy("hash", "text")
+    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("text", "lang")
     got = picked.mapInArrow(releasing(_features), "buckets binary, counts binary, lang string").collect()
     samples = [(np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32).astype(np.int64), r.lang) for r in got]
     samples.sort(key=lambda s: (s[2], s[0].tobytes(), s[1].tobytes()))
@@ -170,7 +179,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
-    types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +197,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
                 scores.append(float(p[k]))
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    ddl = "row struct<" + ",".join(f"`{c}`:{types[c]}" for c in rest) + ">, lang_pred string, score double"
-    text = [] if keep_text else [F.col(text_col).cast("string").alias("text")]
-    return docs.select(F.struct(*rest).alias("row"), *text).mapInArrow(releasing(run), ddl).select("row.*", "lang_pred", "score")
+    ddl = f"row {row_type(docs, rest)}, lang_pred string, score double"
+    text = [] if keep_text else [F.col(quoted(text_col)).cast("string").alias("text")]
+    return docs.select(F.struct(*map(quoted, rest)).alias("row"), *text).mapInArrow(releasing(run), ddl).select("row.*", "lang_pred", "score")

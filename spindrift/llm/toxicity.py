@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, checkpointed, written
+from spindrift.llm._common import bounded_batches, checkpointed, quoted, row_type, written
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5)
@@ -271,9 +271,8 @@ def score_toxicity(
     spark = docs.sparkSession
     bounded_batches(spark)
     rest = [c for c in docs.columns if c not in (text_col, "score", "predicted", "evidence")]
-    types = dict(docs.dtypes)
-    text = F.col(text_col).cast("string").alias("text")
-    row_ddl = "row struct<" + ",".join(f"`{c}`:{types[c]}" for c in rest) + ">"
+    text = F.col(quoted(text_col)).cast("string").alias("text")
+    row_ddl = f"row {row_type(docs, rest)}"
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     result = f"{row_ddl}, score double, predicted int, evidence array<struct<id:long,cosine:double>>"
@@ -284,15 +283,15 @@ def score_toxicity(
         first = Window.partitionBy("y").orderBy(F.xxhash64("id"))
         picked = known.where(unit < share[F.col("y")]).withColumn("k", F.row_number().over(first)).where(F.col("k") <= examples).select("id", "y")
         # at most 2 x `examples` rows of two numbers
-        sample = checkpointed(docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(picked), "id").dropDuplicates(["id"]))
+        sample = checkpointed(docs.select(F.col(quoted(id_col)).alias("id"), text).join(F.broadcast(picked), "id").dropDuplicates(["id"]))
         size = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
         if size:
             model = _fit(sample, size, total, k)
     if model is None:
-        found = docs.select(F.struct(*rest).alias("row")).select("row", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("cast(array() as array<struct<id:long,cosine:double>>)").alias("evidence"))
+        found = docs.select(F.struct(*map(quoted, rest)).alias("row")).select("row", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("cast(array() as array<struct<id:long,cosine:double>>)").alias("evidence"))
         return found.select("row.*", "score", "predicted", "evidence")
     model, terms, complete = model
-    features = written(docs.select(F.struct(*rest).alias("row"), text).mapInArrow(_extract(terms), f"{row_ddl}, packed binary"), "terms")
+    features = written(docs.select(F.struct(*map(quoted, rest)).alias("row"), text).mapInArrow(_extract(terms), f"{row_ddl}, packed binary"), "terms")
     df = features.select("packed").mapInArrow(_count_held(len(model.idf)), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     n, held = features.count(), np.zeros(len(model.idf))
     held[df["at"].to_numpy()] = df["n"].to_numpy()
