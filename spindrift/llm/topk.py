@@ -1,16 +1,17 @@
 """Exact top-k inner products over a pivot-distance index.
 
 Vectors are keyed by their nearest pivot and their distance to it, in annuli.
-Inner products become distances by one more component that gives all vectors the
-norm of the longest (queries get zero there): the larger the product, the nearer
-the vector.  The triangle inequality then bounds every score within an annulus
-from the query's distance to the pivot alone.  A query first reads its most
-promising annuli, until they hold k others; then only annuli whose bound reaches
-the k-th score so far.
+The directory knows of every annulus the largest norm in it and the range of its
+distances to each pivot.  The triangle inequality bounds the distance between a
+query and an annulus from below, by the best of all pivots, and as
+2 q.x = |q|^2 + |x|^2 - |q - x|^2, this and the largest norm bound its scores.  So
+a long vector loosens the bound of its own annulus only.  A query first reads its
+most promising annuli, until they hold k others; then only annuli whose bound
+reaches the k-th score so far.
 
 Pivots and annuli are fitted on a bounded sample (`sample` vectors); every
-vector is indexed.  The directory has at most pivots x annuli rows whatever the
-size of the data.  An annulus with many vectors, or asked by many queries, is
+vector is indexed.  There are more pivots for more vectors, up to MOST_PIVOTS, so
+the directory stays bounded.  An annulus with many vectors, or asked by many queries, is
 dealt out in blocks, so no task holds more than a block of each.
 """
 
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, hash_sample, written
+from spindrift.llm._common import bounded_batches, hash_sample, quoted, written
 
 SCALE = 1024
 ROWS, QUERIES = 4096, 1024
+MOST_PIVOTS = 256
 
 
 def _quantize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,13 +51,8 @@ def _quantize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), dim)
-
-
-def _lifted(x: np.ndarray, longest: int) -> np.ndarray:
-    """With the component that makes all norms equal."""
-    x = x.astype(np.float64)
-    return np.concatenate([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0))[:, None]], axis=1)
+    """The vectors as rows; shorter ones go on with zeros."""
+    return np.frombuffer(b"".join([v.ljust(8 * dim, b"\0") for v in column.to_pylist()]), np.int64).reshape(len(column), dim)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -86,13 +83,31 @@ def _assign(shared):
         for b in batches:
             for k in range(0, b.num_rows, 8192):
                 c = b.slice(k, 8192)
-                d = _distances(_lifted(_matrix(c["packed"], m["dim"]), m["longest"]), m["pivots"])
+                d = _distances(_matrix(c["packed"], m["dim"]).astype(np.float64), m["pivots"])
                 p = d.argmin(axis=1)
-                own = d[np.arange(len(p)), p]
-                ring = (own[:, None] >= m["edges"][p]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [c["id"], pa.array(p * (m["edges"].shape[1] + 1) + ring, pa.int32()), pa.array(own, pa.float64()), c["packed"]], names=["id", "cell", "distance", "packed"]
-                )
+                ring = (d[np.arange(len(p)), p][:, None] >= m["edges"][p]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([c["id"], pa.array(p * (m["edges"].shape[1] + 1) + ring, pa.int32()), c["norm2"], c["packed"]], names=["id", "cell", "norm2", "packed"])
+
+    return run
+
+
+def _ranges(shared):
+    """(cell, pivot, near, far): least and largest distance of a task's vectors of each cell to each pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, near, far = shared.value, {}, {}
+        for b in batches:
+            for k in range(0, b.num_rows, 8192):
+                c = b.slice(k, 8192)
+                cell = c["cell"].to_numpy()
+                order = np.argsort(cell, kind="stable")
+                d = _distances(_matrix(c["packed"], m["dim"]).astype(np.float64), m["pivots"])[order]
+                at = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                for key, low, high in zip(cell[order][at].tolist(), np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), strict=True):
+                    near[key], far[key] = np.minimum(near.get(key, low), low), np.maximum(far.get(key, high), high)
+        for key in near:
+            n = len(near[key])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(near[key]), pa.array(far[key])], names=["cell", "pivot", "near", "far"])
 
     return run
 
@@ -109,9 +124,10 @@ def _ask(shared, k: int, first: bool):
         for b in batches:
             x = _matrix(b["packed"], m["dim"]).astype(np.float64)
             norm2 = (x * x).sum(axis=1)
-            d = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), m["pivots"])[:, m["pivot"]]
-            short = np.maximum(np.maximum(m["near"][None, :] - d, d - m["far"][None, :]) - m["slack"], 0.0)
-            bound = (norm2[:, None] + m["longest"] - short * short) / 2 + m["slack"]
+            d, short = _distances(x, m["pivots"]), np.zeros((len(x), len(m["cell"])))
+            for p in range(d.shape[1]):
+                np.maximum(short, np.maximum(m["near"][None, :, p] - d[:, p, None], d[:, p, None] - m["far"][None, :, p]) - m["slack"], out=short)
+            bound = np.minimum((norm2[:, None] + m["norm2"] - short * short) / 2, np.sqrt(norm2[:, None] * m["norm2"])) + m["slack"]
             order = np.argsort(-bound, axis=1, kind="stable")
             held = np.cumsum(m["count"][order], axis=1)
             probes = (held < k + 1).sum(axis=1) + 1
@@ -203,39 +219,50 @@ def _units(cells: DataFrame, asks: DataFrame, dim: int, k: int, exact_floats: bo
     return rows.mapInArrow(_search(dim, k, exact_floats), HIT)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 32, annuli: int = 8, sample: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, annuli: int = 8, sample: int = 4096, report: dict | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products among all other rows.
 
     Components are floor(1024 * x).  Ties go to the smaller vec_id; with fewer
     others all are returned.  Vectors that are null, or hold a null or non-finite
-    component, take no part; nor do rows without an id, and vectors of another
-    length than the most common one.  Rows of one id are several candidates, but
+    component, take no part; nor do rows without an id.  A vector shorter than
+    the longest one goes on with zeros.  Rows of one id are several candidates, but
     never answers to that id's own query, which is asked once.  `is_query` is a
-    condition on the rows.  Scores must fit 63 bits.  An empty table, or one
-    without queries, gives no rows.
+    condition on the id; other columns, whatever their names, are not read.
+    Scores must fit 63 bits.  An empty table, or one without queries, gives no
+    rows.  report, if given, gets the pairs that were scored ("read") and all pairs
+    of a query and a vector ("all").
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    ready = written(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding")).mapInArrow(_quantize, "id long, dim int, norm2 long, packed binary"), "vectors")
-    common = ready.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("longest")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
+    ready = written(vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("embedding")).mapInArrow(_quantize, "id long, dim int, norm2 long, packed binary"), "vectors")
+    n, dim, longest = ready.agg(F.count("*"), F.max("dim"), F.max("norm2")).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, longest = common.dim, common.longest
-    ready = ready.where(F.col("dim") == dim)
-    chosen = hash_sample(ready.select("id", "packed"), ["id"], sample).collect()
-    centres, edges = fit_pivots(_lifted(np.stack([np.frombuffer(r.packed, np.int64) for r in chosen]), longest), pivots, annuli)
-    model = {"dim": dim, "longest": float(longest), "pivots": centres, "edges": edges, "slack": 1e-6 * max(1.0, float(longest)) ** 0.5 + 1e-3}
-    cells = written(ready.mapInArrow(_assign(spark.sparkContext.broadcast(model)), "id long, cell int, distance double, packed binary"), "cells")
-    directory = sorted(cells.groupBy("cell").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.count("*").alias("n")).collect())
-    model |= {"cell": np.array([r.cell for r in directory]), "near": np.array([r.near for r in directory]), "far": np.array([r.far for r in directory]), "count": np.array([r.n for r in directory])}
-    model["pivot"] = model["cell"] // annuli
+    chosen = hash_sample(ready.select("id", "packed"), ["id"], sample).toArrow()["packed"].combine_chunks()
+    pivots = pivots or int(min(MOST_PIVOTS, max(16, n ** (1 / 3))))
+    centres, edges = fit_pivots(_matrix(chosen, dim).astype(np.float64), pivots, annuli)
+    model = {"dim": dim, "pivots": centres, "edges": edges, "slack": 1e-6 * max(1.0, float(longest)) ** 0.5 + 1e-3}
+    shared = spark.sparkContext.broadcast(model)
+    cells = written(ready.mapInArrow(_assign(shared), "id long, cell int, norm2 long, packed binary"), "cells")
+    directory = sorted(cells.groupBy("cell").agg(F.max("norm2").alias("norm2"), F.count("*").alias("n")).collect())
+    place = {r.cell: at for at, r in enumerate(directory)}
+    model |= {"cell": np.array([r.cell for r in directory]), "norm2": np.array([float(r.norm2) for r in directory]), "count": np.array([r.n for r in directory])}
+    model |= {"near": np.zeros((len(directory), len(centres))), "far": np.zeros((len(directory), len(centres)))}
+    # at most pivots x annuli x pivots rows
+    ranges = cells.select("cell", "packed").mapInArrow(_ranges(shared), "cell int, pivot int, near double, far double").groupBy("cell", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far")).toArrow()
+    at = np.array([place[c] for c in ranges["cell"].to_pylist()]), ranges["pivot"].to_numpy()
+    model["near"][at], model["far"][at] = ranges["near"].to_numpy(), ranges["far"].to_numpy()
     shared, counts = spark.sparkContext.broadcast(model), {r.cell: r.n for r in directory}
     exact_floats = 2 * float(longest) < 2**52
+    cells = cells.select("id", "cell", "packed")
     queries = ready.withColumn(id_col, F.col("id")).where(is_query).select("id", "packed").dropDuplicates(["id"])
     asks = written(queries.mapInArrow(_ask(shared, k, True), ASK), "asks")
     hits = written(_units(cells, asks, dim, k, exact_floats, counts), "hits")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    asks = written(queries.join(kth, "id", "left").select("id", "packed", "least").mapInArrow(_ask(shared, k, False), ASK), "asks")
-    hits = hits.unionByName(_units(cells, asks, dim, k, exact_floats, counts))
+    more = written(queries.join(kth, "id", "left").select("id", "packed", "least").mapInArrow(_ask(shared, k, False), ASK), "asks")
+    if report is not None:
+        asked = asks.select("cell").unionByName(more.select("cell")).groupBy("cell").count().collect()
+        report |= {"read": sum(counts[r.cell] * r["count"] for r in asked), "all": n * queries.count()}
+    hits = hits.unionByName(_units(cells, more, dim, k, exact_floats, counts))
     return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

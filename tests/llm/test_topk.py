@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,11 +18,8 @@ def f32(x):
 
 def brute(rows, step, k):
     usable = [(i, [math.floor(1024 * f32(x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    dims = {}
-    for _, v in usable:
-        dims[len(v)] = dims.get(len(v), 0) + 1
-    dim = min(dims, key=lambda d: (-dims[d], d))
-    usable = [u for u in usable if len(u[1]) == dim]
+    longest = max((len(v) for _, v in usable), default=0)
+    usable = [(i, v + [0] * (longest - len(v))) for i, v in usable]
     out, asked = [], set()
     for q, x in usable:
         if q % step or q in asked:
@@ -57,3 +55,27 @@ def test_edges(spark):
     assert run([]) == [] and run([(1, None, "")]) == []
     few = [(0, [1.0, 2.0], ""), (3, [0.5, -0.25], ""), (10, [1.0, 2.0], "")]
     assert run(few) == brute(few, 10, 10)
+
+
+def test_bounds_leave_out_far_annuli(spark):
+    rng = np.random.Generator(np.random.PCG64(7))
+    centres = rng.normal(size=(20, 8)) * 5
+    x = centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 8)) * 0.1
+    x[17] *= 50  # one long vector loosens no other annulus
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    report = {}
+    got = {}
+    for r in topk.top_k(df, F.expr("vec_id % 100 = 0"), k=10, report=report).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = np.floor(x * 1024).astype(np.int64)
+    for q in range(0, 3000, 100):
+        scores = whole @ whole[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores.tolist()) if i != q)[:10]
+        assert [(i, -s) for s, i in want] == [(i, s) for _, i, s in sorted(got[q])]
+    assert report["all"] == 30 * 3000 and report["read"] < 0.3 * report["all"]
+
+
+def test_shorter_vectors_go_on_with_zeros(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [5.0]), (2, [0.0, 9.0]), (3, []), (4, [1.0, 1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.expr("vec_id = 0"), k=10).collect()
+    assert [(r.vec_id, r.score >> 20) for r in sorted(got, key=lambda r: r.rank)] == [(2, 18), (4, 6), (1, 5), (3, 0)]
