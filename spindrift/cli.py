@@ -140,7 +140,7 @@ def judge_calibrate(spark, a) -> int:
 def guard_replay(spark, a) -> int:
     """Levels of recorded scores: a CSV of episode_id, step, t, score, threshold."""
     s = spark.read.csv(a.scores, header=True, schema="episode_id string, step int, t double, score double, threshold double").withColumn("violation", F.lit(False))
-    levels = guard.levels(s, a.patience, a.hysteresis).join(s.select("episode_id", "step", "t"), ["episode_id", "step"])
+    levels = guard.levels(s, a.patience, a.hysteresis, keep=("t",))
     levels.write.mode("overwrite").json(a.out)
     print(Report("Replay", "", [Section.of("Episodes", guard.episodes_of(levels))]).markdown())
     return PASS

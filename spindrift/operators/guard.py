@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,34 +82,31 @@ class Levels:
         return GUARD_LEVELS[3] if self.stopped else GUARD_LEVELS[self.level]
 
 
-def levels(steps: DataFrame, patience: int = 3, hysteresis: float = 0.1) -> DataFrame:
-    """Adds level to (episode_id, step, score, threshold, violation), by one ordered fold per episode.
+def levels(steps: DataFrame, patience: int = 3, hysteresis: float = 0.1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """episode_id, step, the columns to keep, and level of (episode_id, step, score, threshold, violation), by one ordered pass over each episode.
 
-    The fold is Spark's `aggregate` over an episode's sorted steps, so it stays in
-    the JVM; a null score holds everything, a violation stops for good.
+    The steps of an episode are sorted into one partition and stream through the
+    state in Arrow batches, so an episode costs time in proportion to its steps
+    and memory of a batch, however long it is.  A null score holds everything, a
+    violation stops for good.
     """
-    state = F.struct(F.lit(0).alias("level"), F.lit(0).alias("above"), F.lit(0).alias("below"), F.lit(False).alias("stopped"), F.array().cast("array<struct<step:int,level:string>>").alias("out"))
-
-    def merge(s, x):
-        stopped = s["stopped"] | x["violation"]
-        live = ~stopped & x["score"].isNotNull() & ~F.isnan(x["score"])
-        up, down = live & (x["score"] > x["threshold"]), live & (x["score"] < x["threshold"] - hysteresis * F.abs(x["threshold"]))
-        above = F.when(up, s["above"] + 1).when(live, 0).otherwise(s["above"])
-        below = F.when(down, s["below"] + 1).when(live, 0).otherwise(s["below"])
-        rise, fall = up & (above >= patience) & (s["level"] < 2), down & (below >= patience) & (s["level"] > 0)
-        level = s["level"] + F.when(rise, 1).when(fall, -1).otherwise(0)
-        name = F.when(stopped, GUARD_LEVELS[3]).otherwise(F.element_at(F.array(*map(F.lit, GUARD_LEVELS[:3])), level + 1))
-        return F.struct(
-            level.alias("level"),
-            F.when(rise, 0).otherwise(above).alias("above"),
-            F.when(fall, 0).otherwise(below).alias("below"),
-            stopped.alias("stopped"),
-            F.concat(s["out"], F.array(F.struct(x["step"].alias("step"), name.alias("level")))).alias("out"),
-        )
-
-    row = F.struct(F.col("step").cast("int").alias("step"), F.col("score").cast("double").alias("score"), F.col("threshold").cast("double").alias("threshold"), F.coalesce("violation", F.lit(False)).alias("violation"))
-    folded = steps.groupBy("episode_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("episode_id", F.explode(F.aggregate("rows", state, merge, lambda s: s["out"])).alias("o"))
-    return folded.select("episode_id", "o.step", "o.level")
+    order = ["episode_id", "step", "score", "threshold", "violation"]
+    rows = steps.select("episode_id", F.col("step").cast("int").alias("step"), F.col("score").cast("double").alias("score"), F.col("threshold").cast("double").alias("threshold"), F.coalesce("violation", F.lit(False)).alias("violation"), *keep)
+    out = ["episode_id", "step", *keep]
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = Levels(patience, hysteresis), None
+        for b in batches:
+            ids = b["episode_id"].to_pylist()
+            got = []
+            for episode, score, threshold, violation in zip(ids, b["score"].to_pylist(), b["threshold"].to_pylist(), b["violation"].to_pylist(), strict=True):
+                if (episode,) != last:
+                    state, last = Levels(patience, hysteresis), (episode,)
+                got.append(state.step(score, threshold, violation))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in out), pa.array(got, pa.string())], names=[*out, "level"])
+
+    return rows.repartition("episode_id").sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in out) + ", level string")
 
 
 LEVELS_DDL = "episode_id string, step int, level string"

@@ -74,7 +74,7 @@ class GuardModel:
         good = self.score(marked.where(~F.col("violation")).drop("violation")).select("episode_id", "step", "t", "score", "threshold", F.lit(False).alias("violation"))
         rest = marked.where("violation").select("episode_id", "step", "t", F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("threshold"), "violation")
         both = good.unionByName(rest)
-        return guard.levels(both, patience, hysteresis).join(both.select("episode_id", "step", "t"), ["episode_id", "step"])
+        return guard.levels(both, patience, hysteresis, keep=("t",))
 
 
 def fit(nominal: DataFrame, alpha: float = 0.05, method: str = "max", bins: int = 4, fit_share: float = 0.6, stall_share: float = 0.5, seed: int = 0, benign: DataFrame | None = None) -> GuardModel:

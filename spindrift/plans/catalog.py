@@ -500,14 +500,14 @@ def guard_levels_grouped(spark, d):
     {r('CASE WHEN n_alert_onsets > 0 THEN CASE WHEN n_steps > 1 THEN span + span / (n_steps - 1) ELSE 1.0 END - (alert_t - t0) END', 'lead_time_s')} FROM e""")
 def guard_episodes(spark, d):
     lv = _levelled(spark, d)
-    return rounded(guard.episodes_of(guard.levels(lv).join(lv.select("episode_id", "step", "t"), ["episode_id", "step"])))
+    return rounded(guard.episodes_of(guard.levels(lv, keep=("t",))))
 
 
 @query(f"WITH RECURSIVE {_LEVELS}, f AS (SELECT lv.*, t, max(t) OVER (PARTITION BY episode_id) / 2 AS onset_t FROM lv JOIN sc USING (episode_id, step)) SELECT episode_id, {r('any_value(onset_t)', 'onset_t')}, {r('min(t) FILTER (level <> $$ok$$ AND t >= onset_t - 1)', 'alert_t')}, count(*) FILTER (level <> 'ok' AND t >= onset_t - 1) > 0 AS hit, {r('min(t) FILTER (level <> $$ok$$ AND t >= onset_t - 1) - any_value(onset_t)', 'latency_s')} FROM f GROUP BY episode_id")
 def alert_latency(spark, d):
     lv = _levelled(spark, d)
     onsets = lv.groupBy("episode_id").agg((F.max("t") / 2).alias("onset_t"))
-    return rounded(guard.alert_after_onset(guard.levels(lv).join(lv.select("episode_id", "step", "t"), ["episode_id", "step"]), onsets, 1.0))
+    return rounded(guard.alert_after_onset(guard.levels(lv, keep=("t",)), onsets, 1.0))
 
 
 @query(f"WITH {_CHUNKS} SELECT episode_id, step, greatest(sqrt(x * x + y * y), sqrt(x1 * x1 + y1 * y1), sqrt(x2 * x2 + y2 * y2), sqrt(x3 * x3 + y3 * y3)) > 90 OR greatest(abs(x), abs(x1), abs(x2), abs(x3), abs(y), abs(y1), abs(y2), abs(y3)) > 95 OR greatest(sqrt((x1 - x) ** 2 + (y1 - y) ** 2), sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), sqrt((x3 - x2) ** 2 + (y3 - y2) ** 2)) > 85 OR least(x, x1, x2, x3) < 0.05 OR greatest(y, y1, y2, y3) > 98 AS violation FROM full4")

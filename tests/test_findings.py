@@ -48,3 +48,16 @@ def test_hotspots_without_scenarios(spark):
     empty = spark.createDataFrame([], "scenario_hash string, factor string, value double, broken boolean")
     assert scenarios.hotspots(scenarios.gathered(empty)).count() == 0 and scenarios.single_hotspots(scenarios.gathered(empty)).count() == 0
     assert scenarios.quantiles(scenarios.value_counts(scenarios.gathered(empty)), [0.5]).where(F.col("cut").isNotNull()).count() == 0
+
+
+def test_levels_of_a_very_long_episode(spark):
+    import time
+
+    from spindrift.operators import guard
+
+    t = F.col("id").cast("double")
+    steps = spark.range(200_000).select(F.lit("e").alias("episode_id"), F.col("id").alias("step"), t.alias("t"), F.when(F.col("id") % 1000 < 6, 2.0).otherwise(0.1).alias("score"), F.lit(1.0).alias("threshold"), (F.col("id") == 199_990).alias("violation"))
+    start = time.time()
+    got = {r.level: r.n for r in guard.levels(steps.repartition(4), keep=("t",)).groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert got["stop"] == 10 and got["handover"] == 200 * 3 and got["slow"] == 200 * 6 and sum(got.values()) == 200_000
+    assert time.time() - start < 60
