@@ -28,7 +28,9 @@ from spindrift.llm._common import bounded_batches, checkpointed, quoted, row_typ
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5)
-BLOCK = 64
+BLOCK = 128
+#: Blocks that a search reads before it knows a bound to pass over others by.
+FIRST = 6
 #: A term that more than one in so many examples have is kept as a whole row of weights.
 COMMON = 16
 #: G² at which a term weighs twice its TF-IDF.
@@ -42,12 +44,6 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges [start, end), one after the other."""
-    n = end - start
-    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-
-
 @dataclass
 class BlockMaxIndex:
     """Sparse unit vectors of the examples in blocks: whole rows of the common terms, and of each other term its postings and its largest weight in each block that has it."""
@@ -105,28 +101,32 @@ class BlockMaxIndex:
     def nearest(self, at: np.ndarray, values: np.ndarray, k: int, without: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine over zero (ties: the earlier one), and those cosines, exactly.
 
-        Blocks are read by falling bound, ever more at once, until none can hold a better example.
+        The blocks of largest bound are read first, then those of the others that can hold a better example.
         """
         if sums is None:
             sums = next(self.common_sums([(at, values)]))
         rare = self.common[at] < 0
         at, values = at[rare], values[rare]
-        entry = _ranges(self.start[at], self.start[at + 1])
-        of, value = self.block[entry], np.repeat(values, self.start[at + 1] - self.start[at])
+        start, count = self.start[at], self.start[at + 1] - self.start[at]
+        entry = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        of, value = self.block[entry], np.repeat(values, count)
         bounds = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(of, self.largest[entry] * value, len(sums) // BLOCK)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        best, score, least, size = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 4
+        best, score, least, size = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, FIRST
         while len(order):
-            now, order, size = order[:size], order[size:], 4 * size
+            now, order, size = order[:size], order[size:], len(bounds)
             read = np.zeros(len(bounds), bool)
             read[now] = True
             own = np.flatnonzero(read[of])
-            lo, hi = self.first[entry[own]], self.first[entry[own] + 1]
-            post = _ranges(lo, hi)
-            s = sums + np.bincount(self.example[post], self.weight[post] * np.repeat(value[own], hi - lo), len(sums))
+            lo = self.first[entry[own]]
+            n = self.first[entry[own] + 1] - lo
+            post = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            s = sums + np.bincount(self.example[post], self.weight[post] * np.repeat(value[own], n), len(sums))
             got = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            got = got[(s[got] > 0) & (got != without)]
+            got = got[(s[got] >= max(least - 1e-6, 1e-30)) & (got != without)]
+            if len(got) > 4 * k:
+                got = got[s[got] >= np.partition(s[got], -k)[-k] - 1e-6]
             best, score = np.append(best, got), np.append(score, s[got].astype(np.float32))
             if len(best) > k:
                 top = np.lexsort((best, -score))[:k]
@@ -307,7 +307,9 @@ def score_toxicity(
             kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32()), pa.array(evidence, kind)], names=["row", "score", "predicted", "evidence"])
 
-    return features.mapInArrow(run, result).select("row.*", "score", "predicted", "evidence")
+    # the packed terms are small, so their files would give too few tasks for the search
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return features.repartition(tasks).mapInArrow(run, result).select("row.*", "score", "predicted", "evidence")
 
 
 def _fit(sample, size, total, k):
