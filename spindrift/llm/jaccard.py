@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import MISSING_ID, batch, bounded_batches, checkpointed, mix, order_id, releasing, utf8
+from spindrift.llm._common import MISSING_ID, batch, bounded_batches, checkpointed, mix, order_id, quoted, releasing, utf8
 from spindrift.llm.components import components
 from spindrift.llm.shingles import MinHash, shingle_sets
 
@@ -249,6 +249,8 @@ def near_duplicates(
     one; texts without words link with nothing but count as copies of equal
     ones.  A null id stays null, and stands last when the least id of a group is
     taken.  Repeated rows are copies of each other; an empty table gives none.
+    A very long text is read in slabs and has all its shingles compared; other
+    columns are left out, whatever their names.
     """
     base, facts = _grouped(docs, id_col, text_col, words, threshold, bands, rows, tolerance)
     facts = facts.select("cls", "class_id", "n_copies", "n_links")
@@ -259,14 +261,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """One row of docs, with all its columns, of each group of `near_duplicates`: one of least id.
 
     Of several texts or rows with that id one is taken; a null id is taken only
-    where a group has no other.
+    where a group has no other.  All other columns stay, whatever their names.
     """
     _, facts = _grouped(docs, id_col, text_col, words, threshold, bands, rows, tolerance)
     first = facts.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("first"))
-    kept = first.select(F.coalesce("first.rep", F.lit(MISSING_ID)).alias("__k"), F.col("first.cls").alias("__c"))
-    cls = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.select("*", order_id(id_col).alias("__k"), cls.alias("__c"))
-    return keyed.join(kept, ["__k", "__c"]).dropDuplicates(["__k", "__c"]).select(*docs.columns)
+    kept = first.select(F.coalesce("first.rep", F.lit(MISSING_ID)).alias("k"), F.col("first.cls").alias("c"))
+    cls = F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
+    keyed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), order_id(quoted(id_col)).alias("k"), cls.alias("c"))
+    return keyed.join(kept, ["k", "c"]).dropDuplicates(["k", "c"]).select("row.*")
 
 
 def _grouped(docs: DataFrame, id_col, text_col, words, threshold, bands, rows, tolerance) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +276,7 @@ def _grouped(docs: DataFrame, id_col, text_col, words, threshold, bands, rows, t
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cls", F.xxhash64("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("cls", F.xxhash64("text"))
     classes = base.groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.max(F.octet_length("text")).alias("bytes"))
     found = base.select("cls", "text").mapInArrow(releasing(_map_bands(words, bands, rows)), "key long, cls long, hub long")
     ties = found.repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(releasing(_stars), "a long, b long")

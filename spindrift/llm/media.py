@@ -4,7 +4,8 @@ A payload is a run of 8-bit samples; its media form is a mono RIFF/WAVE file.
 Cuts fall where a gear hash of the last 32 bytes has its upper bits clear, so
 equal passages are cut alike wherever they stand.  `manifests` lists the digests
 of a payload in order, `chunks` holds each digest's bytes once, and `restore`
-joins the two, checks every digest and reads the samples back out of the file.
+joins the two, checks every chunk's digest, reads the samples back out of the file
+and compares them with the digest of the payload from before it was stored.
 Chunks are kept compressed with a Zstandard dictionary, which is trained on a
 bounded sample of texts (`sample` of them, chosen by hash).
 """
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._common import bounded_batches, hash_sample, piece_of, utf8
+from spindrift.llm._common import bounded_batches, hash_sample, piece_of, quoted, utf8
 
 LEAST, MEAN_BITS, MOST, RATE, LEVEL = 1024, 12, 16384, 8000, 19
 _GEAR = np.random.Generator(np.random.PCG64(51)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -87,7 +88,7 @@ def train_dictionary(docs: DataFrame, text_col: str = "text", sample: int = 2000
     It learns from a piece of MOST characters, anywhere in the text, of each of
     `sample` texts; chunks are stored whole whatever it has seen.
     """
-    text = F.col(text_col).cast("string")
+    text = F.col(quoted(text_col)).cast("string")
     rows = hash_sample(docs.select(text.alias("text")), ["text"], sample).where("text is not null").select(piece_of(F.col("text"), MOST).alias("text")).collect()
     try:
         return zstandard.train_dictionary(size, [r.text.encode() for r in rows]).as_bytes()
@@ -141,15 +142,19 @@ def _map_manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _key(text_col: str):
-    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256), 1, 40))
+    """The SHA-256 of the payload, taken before anything is stored, in its first 20 bytes."""
+    data = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    zeros = F.unhex(F.repeat(F.lit("00"), F.when(n == 0, 64).otherwise(F.pmod(-n, F.lit(64))).cast("int")))
+    return F.unhex(F.substring(F.sha2(F.concat(data, zeros), 256), 1, 40))
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _key(text_col).alias("key"))
+    return docs.select(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"), _key(text_col).alias("key"))
 
 
 def manifests(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, ordinal, count, digest): the ordered chunks of each distinct text; a list may occur once per map task."""
+    """(key, ordinal, count, digest): the ordered chunks of each distinct payload; a list may occur once per map task."""
     return _keyed(docs, text_col).select("text", "key").mapInArrow(_map_manifests, "key binary, ordinal int, count int, digest binary")
 
 
@@ -196,9 +201,10 @@ def _restore(with_media: bool, shared):
                 raise ValueError(f"chunk list of {count} has {len(parts)} chunks")
             file = wave(b"".join(parts))
             payload = samples(file)
-            if hashlib.sha256(file).digest() != hashlib.sha256(wave(payload)).digest():
-                raise ValueError("media differ from their payload")
-            got = (key, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).digest(), feature(payload, count), file)
+            digest = hashlib.sha256(payload).digest()
+            if digest[:20] != key:
+                raise ValueError("the samples read back are not the payload that was stored")
+            got = (key, len(payload), digest, zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).digest(), feature(payload, count), file)
             out.append(got[: len(names)])
 
         def emit():
@@ -252,10 +258,11 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: the id, n_bytes and what `restore` reads back of its payload.
 
     A null text is an empty one and has 64 zero samples; equal texts have equal
-    values in all columns but the id.  Ids may be null or repeated, other columns
-    are left out, an empty table gives no rows.
+    values in all columns but the id.  A payload is held whole by its task,
+    however long.  Ids may be null or repeated, other columns are left out,
+    whatever their names, an empty table gives no rows.
     """
-    keys = docs.select(F.col(id_col).alias(id_col), F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), _key(text_col).alias("key"))
+    keys = docs.select(F.col(quoted(id_col)).alias(id_col), F.octet_length(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), _key(text_col).alias("key"))
     bounded_batches(docs.sparkSession)
     dictionary = train_dictionary(docs, text_col)
     found = _restored(manifests(docs, text_col), chunks(docs, text_col, dictionary), False, dictionary)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import checkpointed
+from spindrift.llm._common import checkpointed, quoted
 
 MOST_COPIES = 3
 #: Documents of one source and length that a task ranks at once.
@@ -135,11 +135,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     add nothing; they count as taken once.  The same table and seed give the same
     choice however the table is partitioned; repeated rows are separate
     documents, of which any may be the one taken.  A null source is a source, a
-    null id sorts with hash zero, an empty table gives no rows.
+    null id sorts with hash zero, an empty table gives no rows.  A very long text is
+    one large item; other columns, whatever their names, are only found in `row`.
+    A source's distinct lengths and all sources' totals are each held by one task:
+    some thousands of the first, as lengths repeat, and some millions of the
+    second would still fit.
     """
-    row = [F.struct(*docs.columns).alias("row")] if with_row else []
+    id_col_, text_col, source_col_ = map(quoted, (id_col, text_col, source_col))
+    row = [F.struct(*map(quoted, docs.columns)).alias("row")] if with_row else []
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *row)
+    sized = docs.select(F.col(id_col_).cast("long").alias("id"), F.col(source_col_).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *row)
     light = checkpointed(sized.select("id", "source", "size"))
     lengths = light.groupBy("source", "size").agg(F.count("*").alias("n"))
     wanted = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights)

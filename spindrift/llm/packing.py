@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, releasing, written
+from spindrift.llm._common import bounded_batches, quoted, releasing, written
 
 END = 1
 MAIN_QUEUES = 1024
@@ -243,13 +243,14 @@ def pack(docs: DataFrame, length: int = 2048, ranks_path: str | None = None, id_
     is the end id alone.  Every id is in exactly one piece, sequences are filled
     without gaps from offset 0, and only the last one is shorter than `length`
     (padded, unless its size is a power of two).  Repeated rows are packed once
-    each, a null source is a source, other columns are left out, and an empty
-    table gives no pieces.  A source's order is that of the input's partitions
+    each, a null source is a source, other columns are left out, whatever their
+    names, and an empty table gives no pieces.  A text is tokenized whole by one
+    task, however long; its pieces may lie in thousands of sequences.  A source's order is that of the input's partitions
     and rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(text_col)).cast("string").alias("text"))
     ids = written(rows.mapInArrow(releasing(_tokenize(ranks_path)), "task int, doc_id long, source string, n long, before long, ids binary"), "ids")
     shares = ids.groupBy("task", "source").agg(F.sum("n").alias("n"))
     total = shares.agg(F.sum("n")).first()[0] or 0

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import jaccard
 from spindrift.llm.jaccard import near_duplicates
@@ -85,3 +86,14 @@ def test_edges(spark):
 def test_posterior_bound_keeps_true_pairs():
     for n, least in jaccard.fewest_matches(200, 0.8, 1e-9):
         assert 0 < least < 0.8 * n
+
+
+def test_keep_one_with_clashing_columns_and_null_ids(spark):
+    from spindrift.llm.jaccard import keep_one
+
+    text = " ".join(f"word{i}" for i in range(40))
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(None, text, 1), (3, text, 2), (None, "quite another text of seven words here", 3), (None, text + " more", 4), (8, long, 5), (9, long + " end", 6), (None, "and one more that resembles no other text", 7)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, `a.k` int").withColumns({"k": F.lit(1), "c": F.lit("x"), "__k": F.lit(2)}))
+    assert got.columns == ["doc_id", "text", "a.k", "k", "c", "__k"]
+    assert sorted(r["a.k"] for r in got.collect()) == [2, 3, 5, 7]

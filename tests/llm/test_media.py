@@ -48,7 +48,7 @@ def test_shared_passages_are_kept_once(spark):
     assert store.count() < n
     assert store.select("digest").distinct().count() == store.count()
     files = {bytes(r.key): bytes(r.media) for r in media.restore(lists, store, with_media=True).collect()}
-    texts = {hashlib.sha256((t or "").encode()).digest()[:20]: media.payload_of((t or "").encode()) for _, t in rows_of(2)}
+    texts = {hashlib.sha256(p).digest()[:20]: p for p in (media.payload_of((t or "").encode()) for _, t in rows_of(2))}  # keyed by the payload's digest
     assert {k: media.samples(f) for k, f in files.items()} == texts
 
 
@@ -57,3 +57,12 @@ def test_missing_chunk_fails(spark):
     with pytest.raises(Exception):
         media.restore(media.manifests(df), media.chunks(df).limit(3)).collect()
     assert media.media_features(df.limit(0)).count() == 0
+
+
+def test_a_list_that_gives_other_samples_fails(spark):
+    df = spark.createDataFrame([(1, "".join(random.Random(4).choices("abcdefgh", k=60_000)))], "doc_id long, text string")
+    lists, store = media.manifests(df), media.chunks(df)
+    assert media.restore(lists, store).count() == 1
+    turned = lists.selectExpr("key", "cast(`count` - 1 - ordinal as int) as ordinal", "`count`", "digest")
+    with pytest.raises(Exception, match="not the payload"):
+        media.restore(turned, store).collect()
