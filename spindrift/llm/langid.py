@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, piece_of, quoted, releasing, row_type
+from spindrift.llm._common import bounded_batches, piece_of, quoted, releasing, row_type, written
 
 BITS = 15
 UNKNOWN = "und"
@@ -153,7 +153,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     bounded_batches(labelled.sparkSession)
     columns = ((id_col, None, "id"), (text_col, "string", "text"), (lang_col, "string", "lang"))
     rows = labelled.select(*[(F.col(quoted(c)).cast(kind) if kind else F.col(quoted(c))).alias(name) for c, kind, name in columns]).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # written, so that its size is known: small, it is broadcast, and no text is shuffled by its language
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     found = counts.count()
     if not found:
         return None
