@@ -10,6 +10,8 @@ DATA = "/root/testdata/sf0.001"
 PYTHON = {  # queries that need special functions, matrices or resampling in Python
     "rates_clopper_pearson", "fleet_poisson_bounds", "paired_bootstrap", "unpaired_bootstrap", "log_rank_p", "claim_fisher", "guard_levels_grouped", "mahalanobis", "unit_fingerprint", "fusion_fit", "hotspots", "calibrate_by_task",
     "baseline_detectors", "guard_replay",
+    # the guard's state machine: built-ins can only fold it into an array per episode, in time quadratic in its steps
+    "guard_levels", "guard_episodes", "alert_latency",
 }
 
 
