@@ -6,7 +6,9 @@ the examples, and their beginnings of 3 to 5 characters, without selection;
 their inverse document frequencies are counted over all documents, and a term
 weighs more the more it tells of the label (by its G² among the examples), none
 less than its TF-IDF.  Every document is searched with all its terms; those that no example has match
-nothing and do not count in the document's length.  Votes are turned into
+nothing and do not count in the document's length.  Examples that are alike
+share a block of the index, so that its bounds pass over more blocks; which
+block an example is in changes no cosine.  Votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out
 votes, weighted to the label counts of all learnable rows.
 """
@@ -14,8 +16,9 @@ votes, weighted to the label counts of all learnable rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm._common import bounded_batches, checkpointed, quoted, row_type, written
+from spindrift.llm._common import bounded_batches, checkpointed, quoted, row_type, slabs, written
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5)
 BLOCK = 128
 #: Blocks that a search reads before it knows a bound to pass over others by.
-FIRST = 6
+FIRST = 3
 #: A term that more than one in so many examples have is kept as a whole row of weights.
 COMMON = 16
 #: G² at which a term weighs twice its TF-IDF.
 TELLING = 12.0
+#: Characters whose words are looked up at once, and words that a task remembers.
+AT_ONCE, REMEMBERED = 1 << 20, 200_000
 #: Documents whose common terms are multiplied at once; always so many rows, so that equal texts get equal sums.
 SLAB = 64
 
@@ -68,7 +73,7 @@ class BlockMaxIndex:
     def of(cls, row: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int, terms: int) -> BlockMaxIndex:
         """From the weights of single (example, term)."""
         order = np.lexsort((row, at))
-        return cls._sorted(row[order].astype(np.int32), weights[order].astype(np.float32), np.bincount(at, minlength=terms).astype(np.int32), n)
+        return cls._sorted(row[order].astype(np.int64), weights[order].astype(np.float32), np.bincount(at, minlength=terms).astype(np.int32), n)
 
     @classmethod
     def _sorted(cls, row, weights, held, n) -> BlockMaxIndex:
@@ -137,6 +142,33 @@ class BlockMaxIndex:
         return best[top], score[top]
 
 
+def coherent(row: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int, terms: int, rounds: int = 4) -> np.ndarray:
+    """An order of the n examples in which those of one block are alike, so that a block's largest weights say more of it.
+
+    Groups are halved, in whole blocks, along the direction in which their vectors differ most (by power iteration).
+    row is sorted.
+    """
+    first = np.searchsorted(row, np.arange(n + 1))
+    start = np.random.default_rng(0).standard_normal(n)
+
+    def halves(group: np.ndarray) -> list[np.ndarray]:
+        if len(group) <= BLOCK:
+            return [group]
+        held = first[group + 1] - first[group]
+        entry = np.repeat(first[group] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        of, term, weight = np.repeat(np.arange(len(group)), held), at[entry], weights[entry].astype(np.float64)
+        mean, u = np.bincount(term, weight, terms) / len(group), start[: len(group)]
+        for _ in range(rounds):
+            v = np.bincount(term, weight * (u - u.mean())[of], terms)
+            u = np.bincount(of, weight * v[term], len(group)) - mean @ v
+            u = u / max(float(np.abs(u).max()), 1e-30)
+        group = group[np.argsort(-u, kind="stable")]
+        half = -(-len(group) // BLOCK) // 2 * BLOCK
+        return [*halves(group[:half]), *halves(group[half:])]
+
+    return np.concatenate(halves(np.arange(n)))
+
+
 @dataclass
 class ToxicityModel:
     idf: np.ndarray
@@ -202,31 +234,75 @@ def logistic_curve(z, y, w, rounds: int = 50) -> tuple[float, float]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[str] = set()
     for b in batches:
-        found = {t for text in b["text"] for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms_of(w)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
+        words = {w for text in b["text"] for w in WORD.findall((text.as_py() or "").lower())} - seen
+        seen |= words
+        yield pa.RecordBatch.from_arrays([pa.array(list({t for w in words for t in terms_of(w)}), pa.string())], names=["term"])
+
+
+class Words(dict):
+    """Numbers the words as they are met, and holds the terms of each: flat[start[i]:start[i + 1]]."""
+
+    def __init__(self, terms: dict[int, dict[str, int]]):
+        self.whole, self.beginnings = terms[0], [(n, terms[n]) for n in BEGINNINGS]
+        self.n_terms = sum(map(len, terms.values()))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat, self.start = array("q"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        own = self.whole.get(word)
+        if own is not None:
+            self.flat.append(own)
+        for n, beginnings in self.beginnings:
+            if len(word) <= n:
+                break
+            own = beginnings.get(word[:n])
+            if own is not None:
+                self.flat.append(own)
+        self.start.append(len(self.flat))
+        number = self[word] = len(self)
+        return number
+
+    def counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the terms it has, in order, and how often: words are counted first, then the terms of each."""
+        found = [WORD.findall(t.lower()) for t in texts]
+        n = np.array([len(f) for f in found], np.int64)
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+        words, start, flat = max(len(self), 1), np.array(self.start), np.array(self.flat)
+        key = np.sort(np.repeat(np.arange(len(n)), n) * words + number)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(first, append=len(key))
+        text, number = np.divmod(key[first], words)
+        held = start[number + 1] - start[number]
+        entry = np.repeat(start[number] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        key, times = np.repeat(text, held) * max(self.n_terms, 1) + flat[entry], np.repeat(times, held)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.add.reduceat(times[order], first) if len(first) else first
+        text, at = np.divmod(key[first], max(self.n_terms, 1))
+        ends = np.searchsorted(text, np.arange(len(n) + 1))
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            yield at[i:j], times[i:j]
 
 
 def _extract(shared):
     """(row, packed): how often each of the terms stands in the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        known: dict[str, tuple[int, ...]] = {}
+        known = Words(shared.value)
         for b in batches:
+            texts = [t or "" for t in b["text"].to_pylist()]
+            size = np.cumsum([0, *map(len, texts)])
             out = []
-            for t in b["text"]:
-                ids, times = [], []
-                for w, n in Counter(WORD.findall((t.as_py() or "").lower())).items():
-                    own = known.get(w)
-                    if own is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        own = known[w] = tuple(terms[x] for x in terms_of(w) if x in terms)
-                    ids.extend(own)
-                    times.extend([n] * len(own))
-                keys, which = np.unique(np.array(ids, np.int32), return_inverse=True)
-                out.append(_packed(keys, np.bincount(which, np.array(times, np.int64), len(keys))))
+            for i, j in slabs(size, AT_ONCE):
+                if len(known) > REMEMBERED:
+                    known.forget()
+                out.extend(_packed(at, times) for at, times in known.counts(texts[i:j]))
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.binary())], names=["row", "packed"])
 
     return run
@@ -314,7 +390,10 @@ def _fit(sample, size, total, k):
     """The model without frequencies, its terms for the tasks, and a function that completes it with the frequencies."""
     spark = sample.sparkSession
     found = sample.select("text").mapInArrow(_terms, "term string").distinct().toArrow()["term"].to_pylist()
-    terms = spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(found))})
+    numbered: dict[int, dict[str, int]] = {n: {} for n in (0, *BEGINNINGS)}  # whole words under 0
+    for i, t in enumerate(sorted(found)):
+        numbered[len(t) - 1 if t.endswith("-") else 0][t.removesuffix("-")] = i
+    terms = spark.sparkContext.broadcast(numbered)
     # at most 2 x `examples` rows
     rows = sample.select(F.struct("id", "y").alias("row"), "text").mapInArrow(_extract(terms), "row struct<id:long,y:int>, packed binary")
     rows = rows.select("row.id", "row.y", "packed").toArrow().sort_by("id").combine_chunks()
@@ -332,10 +411,14 @@ def _fit(sample, size, total, k):
         model.idf = idf * factor
         queries = [(a, model.vector(a, c)) for a, c in zip(at, counts, strict=True)]
         flat = [np.concatenate([q[j] for q in queries]) if queries else np.zeros(0, t) for j, t in ((0, np.int64), (1, np.float32))]
-        model.index = BlockMaxIndex.of(np.repeat(np.arange(len(at)), [len(a) for a in at]), flat[0].astype(np.int64), flat[1], len(at), len(idf))
+        row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+        order = coherent(row, flat[0], flat[1], len(at), len(idf))
+        place = np.argsort(order)
+        model.index = BlockMaxIndex.of(place[row], flat[0], flat[1], len(at), len(idf))
+        model.labels, model.ids = model.labels[order], [model.ids[i] for i in order]
         if queries:
-            z = np.array([vote[0] for vote in model.votes(queries, own=True)])
-            model.slope, model.shift = logistic_curve(z, model.labels, scale[own])
+            z = np.array([vote[0] for vote in model.votes([queries[i] for i in order], own=True)])
+            model.slope, model.shift = logistic_curve(z, model.labels, scale[own][order])
         return model
 
     return model, terms, complete

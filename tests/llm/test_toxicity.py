@@ -83,3 +83,30 @@ def test_every_document_is_searched_with_all_its_terms(spark):
     for r in got[::7]:
         want = sorted((sum(v * unit[j].get(t, 0) for t, v in unit[r.doc_id].items()) for j, _ in rows if j % 5), reverse=True)[:3]
         assert [e.cosine for e in r.evidence] == pytest.approx(want, abs=1e-5)
+
+
+def test_terms_are_counted_as_words_are():
+    texts = ["", "ab abc abcd", "Abcdefg abcdefg abcde; abcdef\u00e9 zzzz", "\u00df STRASSE stra\u00dfe", "abcd " * 50_000]
+    found = sorted({t for text in texts[1:4] for w in text.lower().split() for t in toxicity.terms_of(w)} - {"zzzz"})
+    numbered = {n: {} for n in (0, *toxicity.BEGINNINGS)}
+    for i, t in enumerate(found):
+        numbered[len(t) - 1 if t.endswith("-") else 0][t.removesuffix("-")] = i
+    words = toxicity.Words(numbered)
+    for _ in range(2):
+        for text, (at, times) in zip(texts, words.counts(texts), strict=True):
+            want = Counter(found.index(t) for w in toxicity.WORD.findall(text.lower()) for t in toxicity.terms_of(w) if t in found)
+            assert dict(zip(at.tolist(), times.tolist(), strict=True)) == want and at.tolist() == sorted(at.tolist())
+        words.forget()
+    assert list(words.counts([])) == []
+
+
+def test_alike_examples_share_blocks():
+    rng = np.random.Generator(np.random.PCG64(5))
+    kind = rng.integers(0, 4, 1000)
+    vectors = (rng.random((1000, 400)) < 0.2) * (np.arange(400) // 100 == kind[:, None])
+    row, at = np.nonzero(vectors)
+    order = toxicity.coherent(row, at, np.ones(len(row), np.float32), *vectors.shape)
+    assert sorted(order.tolist()) == list(range(1000))
+    blocks = [set(kind[order[i : i + toxicity.BLOCK]].tolist()) for i in range(0, 1000, toxicity.BLOCK)]
+    assert sum(map(len, blocks)) <= 2 * len(blocks)
+    assert toxicity.coherent(row[:0], at[:0], np.zeros(0, np.float32), 0, 400).tolist() == []
